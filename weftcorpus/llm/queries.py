@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm import byte_bpe, gif_media, mixing, quality_rules, sharding, token_counts, toxicity, url_filters
+from weftcorpus.llm import byte_bpe, gif_media, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKEN_LIMIT = 1024
@@ -64,13 +64,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixed(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_gif_media, op3_token_counts, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_url_filters, op10_mixing]
+    found = [op1_toxicity, op2_gif_media, op3_token_counts, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_url_filters, op9_jaccard_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
@@ -89,6 +93,22 @@ FROM split LEFT JOIN hits USING (n)
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, min(root)) AS component_id FROM sets JOIN reach ON node = doc_id GROUP BY doc_id, s
+"""
+
+
 def op10_sql() -> str:
     """The same raking, a window for each margin of each sweep."""
     steps, last = [], "cells"
@@ -116,4 +136,4 @@ FROM docs d JOIN split o USING (n) JOIN shares p ON p.source = d.source AND p.la
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL, "op10_mixing": op10_sql()}
+    return {"op7_url_filters": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": op10_sql()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -109,7 +110,24 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weft-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the cleaner then removes shuffle files of plans that nothing holds any more
+    table = spark.read.schema(df.schema).parquet(path)
+    table._weft_path = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a table that written() has returned, once nothing reads it any more."""
+    path = getattr(table, "_weft_path", None)
+    for entry in [e for e in _written if e[1] == path]:
+        _written.remove(entry)
+        _remove(*entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
@@ -117,9 +135,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session has ended, and its folder with it
             return
 
