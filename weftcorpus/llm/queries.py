@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.llm import byte_bpe, gif_media, jaccard_join, mixing, quality_rules, sharding, token_counts, toxicity, url_filters
+from weftcorpus.llm import byte_bpe, gif_media, jaccard_join, mixing, quality_rules, sharding, substring_dedup, token_counts, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKEN_LIMIT = 1024
@@ -64,6 +64,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_toxicity, op2_gif_media, op3_token_counts, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_url_filters, op9_jaccard_join, op10_mixing]
+    found = [op1_toxicity, op2_gif_media, op3_token_counts, op4_sharding, op5_byte_bpe, op6_quality_rules, op7_url_filters, op8_substring_dedup, op9_jaccard_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
@@ -93,6 +98,21 @@ FROM split LEFT JOIN hits USING (n)
 """
 
 
+OP8_SQL = """
+WITH words AS (
+  SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT n, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50),
+windows AS (SELECT n, doc_id, p, md5(array_to_string(w[p:p+49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT n, list_distinct(flatten(list(range(p, p + 50)))) AS g FROM windows JOIN firsts USING (h) WHERE first < doc_id GROUP BY n),
+kept AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+    CASE WHEN g IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i))), lambda i: w[i]) END AS k
+  FROM words LEFT JOIN gone USING (n))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 OP9_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -136,4 +156,4 @@ FROM docs d JOIN split o USING (n) JOIN shares p ON p.source = d.source AND p.la
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": op10_sql()}
+    return {"op7_url_filters": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": op10_sql()}
