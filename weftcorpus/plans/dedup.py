@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftcorpus.functions.text import canonical_form, content_hash, exact_hash, word_jaccard, words
-from weftcorpus.operators import dedup, near
+from weftcorpus.operators import contamination, dedup, near
 from weftcorpus.plans.base import CANON, D, W, Register, documents, table
 
 REGISTER = Register()
@@ -224,15 +224,9 @@ def word_jaccard_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"""WITH b AS (SELECT item_id, left({CANON}, 60) AS head FROM benchmark), c AS (SELECT doc_id, {CANON} AS canon FROM documents)
 SELECT item_id, count(doc_id)::BIGINT AS documents, min(doc_id) AS first_id FROM b LEFT JOIN c ON contains(canon, head) GROUP BY item_id""")
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose first 60 canonical characters stand in documents: an equi-join on 60-grams of characters.
-
-    A document's 60-grams are compared only where their first 12 characters start an item.
-    """
+    """Benchmark items whose first 60 canonical characters stand in documents, in blocks of items."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(canonical_form(F.col("text")), 1, 60).alias("head"))
     docs = table(spark, sf_dir, "documents").select("doc_id", canonical_form(F.col("text")).alias("canon"))
-    long, short = items.where("length(head) = 60"), items.where("length(head) < 60")
-    grams = docs.where("length(canon) >= 60").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("canon") - 59), lambda i: F.substring("canon", i, F.lit(60))))).alias("head"))
-    hits = grams.join(long, "head").select("item_id", "doc_id")
-    hits = hits.unionByName(short.join(docs, F.contains("canon", "head")).select("item_id", "doc_id"))
+    hits = contamination.heads_in(docs, items)
     found = hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_id")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftcorpus.plans import corpus, dedup
+from weftcorpus.plans import corpus, dedup, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [corpus, dedup]
+MODULES = [corpus, dedup, texts]
 
 
 def queries() -> dict[str, Query]:
