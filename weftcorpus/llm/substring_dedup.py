@@ -9,10 +9,12 @@ runs and pairs equal names without a table of names. With each symbol goes the r
 same words stand elsewhere, so does the symbol. Those whose range lies inside a window are its interior symbols, the
 same for equal windows. The one with the least hash is the window's anchor; where none is whole, its least word is.
 
-1. Consecutive windows with one anchor make a row: the anchor's symbol, and a hash of all the words they cover.
-2. Rows with equal hashes are equal passages: all but those of the least id are repeats, without a look at windows.
-3. Of the rest, symbols that only one document has prove that their windows are nowhere else. The windows of the
-   others are hashed one by one (two hashes of 64 bits), and those with a smaller id elsewhere are repeats.
+1. Consecutive windows with one anchor make a row, those that begin well before it and the others apart. A row has
+   a hash of all the words that its windows cover, and one of the words around the anchor that each of them holds.
+2. Rows whose first hash is equal are equal passages: all but those of the least id are repeats, without a look at
+   windows.
+3. Of the rest, those whose second hash no other document has are nowhere else. The windows of the others are
+   hashed one by one (two hashes of 64 bits), and those with a smaller id elsewhere are repeats.
 
 A document whose text equals that of a smaller id goes as a whole, if it has a window at all.
 
@@ -34,13 +36,14 @@ from pyspark.sql.functions import arrow_udf
 
 from weftcorpus.llm.shared import BASE, Rolling, WordHashes, drop, fresh, mixed, text_bytes, written
 
-WINDOW, ROUNDS, RUN_ROUNDS = 50, 5, (0, 3)
+WINDOW, ROUNDS, RUN_ROUNDS = 50, 4, (0, 3)
 #: Words that are parsed at a time, whole documents only.
 BATCH = 400_000
 FAR = 1 << 40
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEPARATOR = np.uint64(0)
-SHIFT = 20
+#: A row's windows are packed into a number: 15 bits of the text's hash (rows may share an id), 28 of place, 20 of count.
+SHIFT, TAG = 20, 48
 
 
 def fingerprint(raw: bytes) -> int:
@@ -136,44 +139,44 @@ def least_of_ranges(first: np.ndarray, last: np.ndarray, value: np.ndarray, size
 
 
 def anchored(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Of the words of several documents (with separators between): document, symbol, hash, place and number of
-    windows of each run of windows with one anchor. begins, ends: where each document's words are."""
+    """Of the words of several documents (with separators between): document, hash of the words around the anchor,
+    hash of all words, place and number of windows of each row. begins, ends: where each document's words are."""
     size = len(words)
     bits = np.uint64(max(1, int(size).bit_length()))
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    parse = recompressed(words)
-    good = (parse.low >= 0) & (parse.high - parse.low <= window) & (parse.name != SEPARATOR)
-    index = np.flatnonzero(good)
-    value = (mixed(parse.name[index]) & ~mask) | index.astype(np.uint64)
-    first = np.maximum(parse.high[index] - window, 0)
-    least = least_of_ranges(first, parse.low[index], value, size)
     lengths = ends - begins
-    whole = lengths >= window
-    counts = np.where(whole, lengths - window + 1, 0)
+    counts = np.where(lengths >= window, lengths - window + 1, 0)
     doc = np.repeat(np.arange(len(begins)), counts)
     if not len(doc):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
+
+    parse = recompressed(words)
+    index = np.flatnonzero((parse.low >= 0) & (parse.high - parse.low <= window) & (parse.name != SEPARATOR))
+    value = (mixed(parse.name[index]) & ~mask) | index.astype(np.uint64)
+    least = least_of_ranges(np.maximum(parse.high[index] - window, 0), parse.low[index], value, size)
     chosen = least[place]
-    name = np.full(len(place), NONE)
     found = chosen != NONE
-    name[found] = parse.name[(chosen[found] & mask).astype(np.int64)]
+    at = (chosen & mask).astype(np.int64)
+    start, end = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    start[found], end[found] = parse.start[at[found]], parse.end[at[found]]
     if not found.all():  # no whole symbol: the least of the window's words
-        at = np.arange(size, dtype=np.int64)
-        value = (mixed(words) & ~mask) | at.astype(np.uint64)
+        every = np.arange(size, dtype=np.int64)
+        value = (mixed(words) & ~mask) | every.astype(np.uint64)
         value[words == SEPARATOR] = NONE
-        least = least_of_ranges(np.maximum(at - window + 1, 0), at, value, size)
+        least = least_of_ranges(np.maximum(every - window + 1, 0), every, value, size)
         lack = ~found
-        picked = least[place[lack]]
-        chosen[lack] = picked
-        name[lack] = mixed(words[(picked & mask).astype(np.int64)])
-    new = np.append(True, (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]))
-    heads = np.flatnonzero(new)
+        start[lack] = (least[place[lack]] & mask).astype(np.int64)
+        end[lack] = start[lack] + 1
+    # an anchor has half a window before it in those windows that begin early enough, and half a window from it on in the rest
+    half = window // 2 - 2
+    early = place <= start - half
+    heads = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (doc[1:] != doc[:-1]) | (early[1:] != early[:-1])))
     many = np.diff(np.append(heads, len(doc)))
-    start = place[heads]
+    first, begin, early = place[heads], start[heads], early[heads]
     rolling = Rolling(words)
-    passage = rolling.ranges(start, start + many - 1 + window)
-    return doc[heads], name[heads], passage, start - begins[doc[heads]], many
+    around = rolling.ranges(np.where(early, begin - half, begin), np.where(early, end[heads], np.minimum(begin + half, first + window)))
+    return doc[heads], around, rolling.ranges(first, first + many - 1 + window), first - begins[doc[heads]], many
 
 
 def joined_words(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +206,7 @@ def portions(texts: list[bytes], limit: int) -> Iterator[slice]:
 
 # -------------------------------------------------------------------------------------------------------- steps
 def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """__id, __text_hash, n_words, and arrays symbol, passage, run (place << SHIFT | windows).
+    """__id, __text_hash, n_words, and arrays around, passage, run.
 
     A task gives the arrays of a text only once, for the least id that it has seen with it so far; the others are copies.
     """
@@ -228,7 +231,8 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 words, begins, ends = joined_words(some[part], hashes)
                 doc, name, passage, place, many = anchored(words, begins, ends, window)
                 edges = np.searchsorted(doc, np.arange(len(begins) + 1))
-                run = place << SHIFT | many
+                tags = np.array([prints[use[part.start + k]] & 0x7FFF for k in range(len(begins))], np.int64)
+                run = tags[doc] << TAG | place << SHIFT | many
                 for k in range(len(begins)):
                     i, cut = use[part.start + k], slice(edges[k], edges[k + 1])
                     sizes[i] = int(ends[k] - begins[k])
@@ -238,96 +242,105 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(a, kind) for a in arrays)],
-                ["__id", "__text_hash", "n_words", "symbol", "passage", "run"],
+                ["__id", "__text_hash", "n_words", "around", "passage", "run"],
             )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"__id {kind}, __text_hash long, n_words long, symbol array<long>, passage array<long>, run array<long>")
+    return docs.mapInArrow(describe, f"__id {kind}, __text_hash long, n_words long, around array<long>, passage array<long>, run array<long>")
+
+
+def unpacked(runs: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of windows of those runs that are this text's."""
+    packed = np.array(runs, np.int64)
+    packed = packed[packed >> TAG == fingerprint(raw) & 0x7FFF] & (1 << TAG) - 1
+    return packed >> SHIFT, packed & (1 << SHIFT) - 1
 
 
 def window_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """h, g, __id, __text_hash, place of each window of the runs asked for. texts: __id, __text, asked (array of
-    struct of __text_hash and run)."""
+    """h, g, __id, run of each window of the runs asked for. texts: __id, __text, asked (array of runs)."""
     second = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for own, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 raw = text_bytes(text.as_py())
-                mark = fingerprint(raw)
-                runs = [r["run"] for r in asked.as_py() if r["__text_hash"] == mark]
-                if not runs:
+                start, many = unpacked(asked.as_py(), raw)
+                if not len(start):
                     continue
-                packed = np.array(runs, np.int64)
-                start, many = packed >> SHIFT, packed & (1 << SHIFT) - 1
                 places = np.unique(np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
                 words = hashes.array(raw.split())
                 words[words == SEPARATOR] = np.uint64(1)
                 for k, values in enumerate((words, mixed(words + second))):
                     out[k].append(Rolling(values).ranges(places, places + window).view(np.int64))
                 out[2] += [own.as_py()] * len(places)
-                out[3].append(np.full(len(places), mark, np.int64))
-                out[4].append(places)
-            flat = [np.concatenate([np.zeros(0, np.int64), *out[k]]) for k in (0, 1, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(out[2], batch.column(0).type), pa.array(flat[2]), pa.array(flat[3])], ["h", "g", "__id", "__text_hash", "place"])
+                out[3].append((fingerprint(raw) & 0x7FFF) << TAG | places << SHIFT | 1)
+            flat = [np.concatenate([np.zeros(0, np.int64), *out[k]]) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(out[2], batch.column(0).type), pa.array(flat[2])], ["h", "g", "__id", "run"])
 
     kind = texts.schema["__id"].dataType.simpleString()
-    return texts.select("__id", "__text", "asked").mapInArrow(describe, f"h long, g long, __id {kind}, __text_hash long, place long")
+    return texts.select("__id", "__text", "asked").mapInArrow(describe, f"h long, g long, __id {kind}, run long")
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """__id and repeats: array of (__text_hash, low, high), the ranges of words that repeat smaller ids' windows."""
+    """__id and repeats: the runs of windows that repeat those of smaller ids."""
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
+
     rows = written(passages(docs, window))
     firsts = rows.where("__id is not null").groupBy("__text_hash").agg(F.min("__id").alias("__first"))
     copies = rows.join(firsts, "__text_hash").where((F.col("__id") > F.col("__first")) & (F.col("n_words") >= window))
-    copies = copies.select("__id", "__text_hash", F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high"))
-
-    each = rows.where("symbol is not null").select("__id", "__text_hash", F.explode(F.arrays_zip("symbol", "passage", "run")).alias("r")).select("__id", "__text_hash", "r.*")
-    least = each.groupBy("passage", "symbol").agg(F.min("__id").alias("__first"))
-    judged = written(each.join(least, ["passage", "symbol"]).select("__id", "__text_hash", "symbol", "run", (F.col("__first") < F.col("__id")).alias("repeat")))
-    place, many = F.shiftright("run", SHIFT), F.col("run").bitwiseAND((1 << SHIFT) - 1)
-    known = judged.where("repeat").select("__id", "__text_hash", place.alias("low"), (place + many - 1 + window).alias("high"))
-
-    open_ = judged.where("not repeat")
-    shared = open_.groupBy("symbol").agg(F.min("__id").alias("x"), F.max("__id").alias("y")).where("x < y").select("symbol")
-    asked = open_.join(shared, "symbol").groupBy("__id").agg(F.collect_list(F.struct("__text_hash", "run")).alias("asked"))
+    whole = F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG).bitwiseOR(F.col("n_words") - (window - 1))
+    # a text of more windows than a run can count is given as several
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_words") - window, F.lit(1 << 19).cast("long")), lambda i: F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG).bitwiseOR(F.shiftleft(i, SHIFT)).bitwiseOR(F.least(F.lit(1 << 19).cast("long"), F.col("n_words") - (window - 1) - i)))
+    copies = written(copies.select("__id", F.when(F.col("n_words") - window < (1 << 19), F.array(whole)).otherwise(runs).alias("repeats")))
+
+    each = rows.where("around is not null").select("__id", F.explode(F.arrays_zip("around", "passage", "run")).alias("r")).select("__id", "r.*")
+    least = each.groupBy("passage").agg(F.min("__id").alias("__first"))
+    judged = written(each.join(least, "passage").select("__id", "run", F.when(F.col("__first") == F.col("__id"), F.col("around")).alias("around")))
+    drop(rows)
+    known = written(judged.where("around is null").groupBy("__id").agg(F.collect_list("run").alias("repeats")))
+
+    open_ = judged.where("around is not null")
+    shared = open_.groupBy("around").agg(F.min("__id").alias("x"), F.max("__id").alias("y")).where("x < y").select("around")
+    asked = written(open_.join(shared, "around").groupBy("__id").agg(F.collect_list("run").alias("asked")))
+    drop(judged)
     windows = written(window_hashes(docs.join(asked.hint("shuffle_hash"), "__id"), window))
+    drop(asked)
     first = windows.groupBy("h", "g").agg(F.min("__id").alias("__first"))
-    single = windows.join(first, ["h", "g"]).where("__first < __id").select("__id", "__text_hash", F.col("place").alias("low"), (F.col("place") + window).alias("high"))
+    single = windows.join(first, ["h", "g"]).where("__first < __id").groupBy("__id").agg(F.collect_list("run").alias("repeats"))
 
     found = copies.unionByName(known).unionByName(single)
-    out = written(found.groupBy("__id").agg(F.collect_list(F.struct("__text_hash", "low", "high")).alias("repeats")))
-    for table in (rows, judged, windows):
+    out = written(found.groupBy("__id").agg(F.flatten(F.collect_list("repeats")).alias("repeats")))
+    for table in (copies, known, windows):
         drop(table)
     return out
 
 
-def kept_words(raw: bytes, ranges: list[dict] | None) -> tuple[list[bytes], int]:
+def kept_words(raw: bytes, runs: list[int] | None, window: int) -> tuple[list[bytes], int]:
     words = raw.split()
-    if not ranges:
+    if not runs:
         return words, 0
-    mark = fingerprint(raw)
+    start, many = unpacked(runs, raw)
     edge = np.zeros(len(words) + 1, np.int64)
-    for r in ranges:
-        if r["__text_hash"] == mark:
-            edge[r["low"]] += 1
-            edge[min(r["high"], len(words))] -= 1
+    np.add.at(edge, start, 1)
+    np.add.at(edge, np.minimum(start + many - 1 + window, len(words)), -1)
     gone = np.cumsum(edge[:-1]) > 0
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, ranges in batches:
-        sizes, removed, kept = [], [], []
-        for t, r in zip(texts, ranges, strict=True):
-            words, gone = kept_words(text_bytes(t.as_py()), r.as_py())
-            sizes.append(len(words) + gone)
-            removed.append(gone)
-            kept.append(b" ".join(words).decode("utf-8", "replace"))
-        yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
+def _cutter(window: int):
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, runs in batches:
+            sizes, removed, kept = [], [], []
+            for t, r in zip(texts, runs, strict=True):
+                words, gone = kept_words(text_bytes(t.as_py()), r.as_py(), window)
+                sizes.append(len(words) + gone)
+                removed.append(gone)
+                kept.append(b" ".join(words).decode("utf-8", "replace"))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])
+
+    return arrow_udf(cut, "struct<n_words:bigint,n_removed:bigint,kept:string>")
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -336,6 +349,5 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in results])
     found = repeats(df, key, text, window).withColumnRenamed("__id", key)
     result = fresh(df, "__result")
-    cut = arrow_udf(_cut, "struct<n_words:bigint,n_removed:bigint,kept:string>")
-    joined = df.join(found.hint("shuffle_hash"), key, "left").withColumn(result, cut(F.coalesce(F.col(text), F.lit("")), F.col("repeats")))
+    joined = df.join(found.hint("shuffle_hash"), key, "left").withColumn(result, _cutter(window)(F.coalesce(F.col(text), F.lit("")), F.col("repeats")))
     return joined.select(*df.columns, f"{result}.n_words", f"{result}.n_removed", F.col(f"{result}.kept").alias("kept_text"))
