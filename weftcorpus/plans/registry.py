@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftcorpus.plans import corpus, dedup, texts
+from weftcorpus.plans import corpus, dedup, jobs, texts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [corpus, dedup, texts]
+MODULES = [corpus, dedup, texts, tokens, jobs]
 
 
 def queries() -> dict[str, Query]:
