@@ -7,7 +7,8 @@ Recompression names words, then in rounds runs of one symbol and pairs of a left
 symbol is on in a round is a bit of its hash. A name is a hash of what it stands for, so all tasks give equal
 runs and pairs equal names without a table of names. With each symbol goes the range of words that decides it: if the
 same words stand elsewhere, so does the symbol. Those whose range lies inside a window are its interior symbols, the
-same for equal windows. The one with the least hash is the window's anchor; where none is whole, its least word is.
+same for equal windows. The one with the least hash is the window's anchor; where none is whole, windows go
+by their set of words.
 
 1. Consecutive windows with one anchor make a row, those that begin well before it and the others apart. A row has
    a hash of all the words that its windows cover, and one of the words around the anchor that each of them holds.
@@ -42,8 +43,9 @@ BATCH = 400_000
 FAR = 1 << 40
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEPARATOR = np.uint64(0)
-#: A row's windows are packed into a number: 15 bits of the text's hash (rows may share an id), 28 of place, 20 of count.
-SHIFT, TAG = 20, 48
+#: A row's windows are packed into a number: 15 bits of the text's hash (rows may share an id), 28 of place, one that
+#: tells that the same words stand elsewhere in the text too, 19 of count.
+SHIFT, TAG, TWIN, MOST = 20, 48, 1 << 19, (1 << 19) - 1
 
 
 def fingerprint(raw: bytes) -> int:
@@ -160,22 +162,23 @@ def anchored(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: in
     at = (chosen & mask).astype(np.int64)
     start, end = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     start[found], end[found] = parse.start[at[found]], parse.end[at[found]]
-    if not found.all():  # no whole symbol: the least of the window's words
-        every = np.arange(size, dtype=np.int64)
-        value = (mixed(words) & ~mask) | every.astype(np.uint64)
-        value[words == SEPARATOR] = NONE
-        least = least_of_ranges(np.maximum(every - window + 1, 0), every, value, size)
-        lack = ~found
-        start[lack] = (least[place[lack]] & mask).astype(np.int64)
-        end[lack] = start[lack] + 1
+    # no whole symbol, as in long runs and short periods: the window goes by its set of words
+    lack = np.flatnonzero(~found)
+    kind = np.zeros(len(place), np.uint64)
+    for i in lack.tolist():
+        kind[i] = mixed(np.unique(words[place[i] : place[i] + window])).sum(dtype=np.uint64)
     # an anchor has half a window before it in those windows that begin early enough, and half a window from it on in the rest
     half = window // 2 - 2
-    early = place <= start - half
-    heads = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (doc[1:] != doc[:-1]) | (early[1:] != early[:-1])))
+    early = found & (place <= start - half)
+    heads = np.flatnonzero(np.append(True, (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (doc[1:] != doc[:-1]) | (early[1:] != early[:-1]) | (kind[1:] != kind[:-1])))
     many = np.diff(np.append(heads, len(doc)))
+    if many.max() > MOST:  # more than a row can count
+        heads = np.unique(np.concatenate([heads, *(np.arange(h, h + m, MOST) for h, m in zip(heads[many > MOST], many[many > MOST], strict=True))]))
+        many = np.diff(np.append(heads, len(doc)))
     first, begin, early = place[heads], start[heads], early[heads]
     rolling = Rolling(words)
-    around = rolling.ranges(np.where(early, begin - half, begin), np.where(early, end[heads], np.minimum(begin + half, first + window)))
+    around = rolling.ranges(np.where(early, begin - half, begin), np.where(early, end[heads], np.minimum(begin + half, np.maximum(begin, first + window))))
+    around = np.where(found[heads], around, mixed(kind[heads]))
     return doc[heads], around, rolling.ranges(first, first + many - 1 + window), first - begins[doc[heads]], many
 
 
@@ -229,14 +232,21 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             some = [texts[i] for i in use]
             for part in portions(some, BATCH):
                 words, begins, ends = joined_words(some[part], hashes)
-                doc, name, passage, place, many = anchored(words, begins, ends, window)
+                doc, around, passage, place, many = anchored(words, begins, ends, window)
+                order = np.lexsort((place, passage, doc))
+                same = np.append(False, (doc[order][1:] == doc[order][:-1]) & (passage[order][1:] == passage[order][:-1]))
+                twin = same | np.append(same[1:], False)
+                many = many.copy()
+                many[order[twin]] |= TWIN
+                first = np.sort(order[~same])  # of equal rows of a document the first one stands for all
+                doc, around, passage, place, many = (x[first] for x in (doc, around, passage, place, many))
                 edges = np.searchsorted(doc, np.arange(len(begins) + 1))
                 tags = np.array([prints[use[part.start + k]] & 0x7FFF for k in range(len(begins))], np.int64)
                 run = tags[doc] << TAG | place << SHIFT | many
                 for k in range(len(begins)):
                     i, cut = use[part.start + k], slice(edges[k], edges[k + 1])
                     sizes[i] = int(ends[k] - begins[k])
-                    arrays[0][i], arrays[1][i], arrays[2][i] = name[cut].view(np.int64), passage[cut].view(np.int64), run[cut]
+                    arrays[0][i], arrays[1][i], arrays[2][i] = around[cut].view(np.int64), passage[cut].view(np.int64), run[cut]
             for i in set(range(len(ids))) - set(use):
                 sizes[i] = len(texts[i].split())
             kind = pa.list_(pa.int64())
@@ -249,15 +259,15 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(describe, f"__id {kind}, __text_hash long, n_words long, around array<long>, passage array<long>, run array<long>")
 
 
-def unpacked(runs: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and numbers of windows of those runs that are this text's."""
+def unpacked(runs: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and numbers of windows of those runs that are this text's, and whether their words have twins in it."""
     packed = np.array(runs, np.int64)
     packed = packed[packed >> TAG == fingerprint(raw) & 0x7FFF] & (1 << TAG) - 1
-    return packed >> SHIFT, packed & (1 << SHIFT) - 1
+    return packed >> SHIFT, packed & MOST, packed & TWIN > 0
 
 
 def window_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """h, g, __id, run of each window of the runs asked for. texts: __id, __text, asked (array of runs)."""
+    """h, g, __id, run of each window of the runs asked for, once for a document. texts: __id, __text, asked (array of runs)."""
     second = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +276,19 @@ def window_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for own, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 raw = text_bytes(text.as_py())
-                start, many = unpacked(asked.as_py(), raw)
+                start, many, twin = unpacked(asked.as_py(), raw)
                 if not len(start):
                     continue
-                places = np.unique(np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                places = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 words = hashes.array(raw.split())
                 words[words == SEPARATOR] = np.uint64(1)
-                for k, values in enumerate((words, mixed(words + second))):
-                    out[k].append(Rolling(values).ranges(places, places + window).view(np.int64))
+                found = Rolling(words).ranges(places, places + window)
+                found, index, times = np.unique(found, return_index=True, return_counts=True)
+                places, twin = places[index], np.repeat(twin, many)[index] | (times > 1)
+                out[0].append(found.view(np.int64))
+                out[1].append(Rolling(mixed(words + second)).ranges(places, places + window).view(np.int64))
                 out[2] += [own.as_py()] * len(places)
-                out[3].append((fingerprint(raw) & 0x7FFF) << TAG | places << SHIFT | 1)
+                out[3].append((fingerprint(raw) & 0x7FFF) << TAG | places << SHIFT | np.where(twin, TWIN, 0) | 1)
             flat = [np.concatenate([np.zeros(0, np.int64), *out[k]]) for k in (0, 1, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(out[2], batch.column(0).type), pa.array(flat[2])], ["h", "g", "__id", "run"])
 
@@ -290,10 +303,10 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     rows = written(passages(docs, window))
     firsts = rows.where("__id is not null").groupBy("__text_hash").agg(F.min("__id").alias("__first"))
     copies = rows.join(firsts, "__text_hash").where((F.col("__id") > F.col("__first")) & (F.col("n_words") >= window))
-    whole = F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG).bitwiseOR(F.col("n_words") - (window - 1))
-    # a text of more windows than a run can count is given as several
-    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_words") - window, F.lit(1 << 19).cast("long")), lambda i: F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG).bitwiseOR(F.shiftleft(i, SHIFT)).bitwiseOR(F.least(F.lit(1 << 19).cast("long"), F.col("n_words") - (window - 1) - i)))
-    copies = written(copies.select("__id", F.when(F.col("n_words") - window < (1 << 19), F.array(whole)).otherwise(runs).alias("repeats")))
+    tag = F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG)
+    last = F.col("n_words") - window
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), last, F.lit(MOST).cast("long")), lambda i: tag.bitwiseOR(F.shiftleft(i, SHIFT)).bitwiseOR(F.least(F.lit(MOST).cast("long"), last + 1 - i)))
+    copies = written(copies.select("__id", runs.alias("repeats")))
 
     each = rows.where("around is not null").select("__id", F.explode(F.arrays_zip("around", "passage", "run")).alias("r")).select("__id", "r.*")
     least = each.groupBy("passage").agg(F.min("__id").alias("__first"))
@@ -317,11 +330,23 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     return out
 
 
-def kept_words(raw: bytes, runs: list[int] | None, window: int) -> tuple[list[bytes], int]:
+def kept_words(raw: bytes, runs: list[int] | None, window: int, hashes: WordHashes) -> tuple[list[bytes], int]:
     words = raw.split()
     if not runs:
         return words, 0
-    start, many = unpacked(runs, raw)
+    start, many, twin = unpacked(runs, raw)
+    if twin.any():  # also where else the same words stand
+        values = hashes.array(words)
+        values[values == SEPARATOR] = np.uint64(1)
+        rolling, more, added = Rolling(values), [], []
+        for size in np.unique(many[twin]).tolist():
+            every = np.arange(len(words) - (size + window - 1) + 1)
+            asked = start[twin & (many == size)]
+            span = size + window - 1
+            more.append(every[np.isin(rolling.ranges(every, every + span), rolling.ranges(asked, asked + span))])
+            added.append(np.full(len(more[-1]), size))
+        many = np.concatenate([many, *added])
+        start = np.concatenate([start, *more])
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, np.minimum(start + many - 1 + window, len(words)), -1)
@@ -331,10 +356,11 @@ def kept_words(raw: bytes, runs: list[int] | None, window: int) -> tuple[list[by
 
 def _cutter(window: int):
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
         for texts, runs in batches:
             sizes, removed, kept = [], [], []
             for t, r in zip(texts, runs, strict=True):
-                words, gone = kept_words(text_bytes(t.as_py()), r.as_py(), window)
+                words, gone = kept_words(text_bytes(t.as_py()), r.as_py(), window, hashes)
                 sizes.append(len(words) + gone)
                 removed.append(gone)
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
