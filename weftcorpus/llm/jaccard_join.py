@@ -36,19 +36,45 @@ from pyspark.sql import functions as F
 from weftcorpus.llm.components import components
 from weftcorpus.llm.shared import Rolling, WordHashes, drop, text_bytes, written
 
-SHINGLE, GROUPS = 5, 64
+SHINGLE, GROUPS, FINE = 5, 128, 2048
 #: Similar sets: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-SLOTS, HEAVY = 1 << 22, 8
+SLOTS, HEAVY, LEAST = 1 << 22, 2.5, 48
 TILE, LEAF = 256, 16
 
 
-def shingle_hashes(raw: bytes, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; A-Z count as lower case."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(Rolling(hashes.array(words)).windows(min(n, len(words))))
+def shingle_hashes(texts: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of each text's shingles, in order, repeated ones included; A-Z count as lower case."""
+    for start, end in portions(texts):
+        split = [t.lower().split() for t in texts[start:end]]
+        sizes = [len(w) for w in split]
+        rolling = Rolling(hashes.array([w for s in split for w in s]))
+        full = rolling.windows(n)
+        at = 0
+        for size in sizes:
+            if size >= n:
+                yield full[at : at + size - n + 1]
+            elif size:
+                yield rolling.ranges(np.array([at]), np.array([at + size]))
+            else:
+                yield full[:0]
+            at += size
+
+
+def portions(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit bytes."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= limit:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def raw_texts(column: pa.Array) -> list[bytes]:
+    return [text_bytes(t.as_py()) for t in column]
 
 
 def prefix_length(size: int) -> int:
@@ -62,7 +88,7 @@ def similar(common: int, a: int, b: int) -> bool:
 
 # ------------------------------------------------------------------------------------------- frequent shingles
 def heavy_levels(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """For each slot of a count sketch of all shingles: 0, or how many doublings it lies above HEAVY times the mean.
+    """For each slot of a count sketch of all shingles: 0, or how far it lies above HEAVY times the mean (LEAST at least).
 
     A task counts in a table of fixed size and hands on only slots far above its own mean, of which there can be but
     a fixed share. The result orders shingles, and decides nothing else.
@@ -71,59 +97,81 @@ def heavy_levels(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, total = WordHashes(), np.zeros(slots, np.int32), 0
         for batch in batches:
-            for text in batch.column(0):
-                found = shingle_hashes(text_bytes(text.as_py()), hashes)
+            for found in shingle_hashes(raw_texts(batch.column(0)), hashes):
                 total += len(found)
                 np.add.at(table, (found & np.uint64(slots - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(table > HEAVY / 2 * total / slots + 2)
+        at = np.flatnonzero(table > 1.5 * total / slots + 2)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["slot", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["slot", "n"])
 
     counts = written(docs.select("__text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     total = counts.where("slot = -1").agg(F.sum("n")).first()[0] or 0
-    least = HEAVY * (total / slots + 8)
+    least = max(LEAST, HEAVY * total / slots)
     levels = np.zeros(slots, np.uint8)
     # bounded: at most slots / HEAVY rows can have HEAVY times the mean
     for r in counts.where((F.col("slot") >= 0) & (F.col("n") >= least)).collect():
-        levels[r["slot"]] = min(255, 1 + int(np.log2(r["n"] / least)))
+        levels[r["slot"]] = min(255, 1 + int(4 * np.log2(r["n"] / least)))
     drop(counts)
     return levels
 
 
 # ------------------------------------------------------------------------------------------------- the classes
+def counts(found: np.ndarray, groups: int) -> np.ndarray:
+    """How many hashes fall into each group, by their first bits."""
+    return np.bincount((found >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_counts(found: np.ndarray) -> np.ndarray:
+    """Counts by about one group for two hashes, FINE at most: a power of two of groups, so that they can be folded."""
+    groups = min(FINE, 1 << max(1, (len(found) // 2).bit_length()))
+    while (made := counts(found, groups)).max() > 65535:
+        groups *= 2
+    return made.astype(np.uint16)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The summed minima of two vectors of fine counts, the longer one folded to the length of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """__id, n, class, point, keys; a class's point and keys stand in the first row that a task has of it."""
+    """__id, n, class, point, fine, keys; the last three of a class stand in the first row that a task has of it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order, seen = WordHashes(), np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            sizes, classes, points, keys = [], [], [], []
-            for text in batch.column(1):
-                found = shingle_hashes(text_bytes(text.as_py()), hashes)
+            sizes, classes, points, fine, keys = [], [], [], [], []
+            for found in map(np.unique, shingle_hashes(raw_texts(batch.column(1)), hashes)):
                 sizes.append(len(found))
                 own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 classes.append(own)
                 if own is None or own in seen:
                     points.append(None)
+                    fine.append(None)
                     keys.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(own)
-                points.append(np.bincount((found >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
+                points.append(counts(found, GROUPS).astype(np.uint32).tobytes())
+                fine.append(fine_counts(found).tobytes())
                 n = prefix_length(len(found))
                 level = order[(found & np.uint64(len(order) - 1)).astype(np.int64)]
                 if level.any():
                     found = found[np.argsort(level, kind="stable")]
                 keys.append(found[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(points, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-                ["__id", "n", "class", "point", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["__id", "n", "class", "point", "fine", "keys"],
             )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, point array<int>, keys array<long>")
+    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, point binary, fine binary, keys array<long>")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -148,22 +196,28 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, n, shingles for the wanted classes; wanted: class, __id of a document that has it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            found = [shingle_hashes(text_bytes(t.as_py()), hashes) for t in batch.column(1)]
+            found = list(map(np.unique, shingle_hashes(raw_texts(batch.column(1)), hashes)))
             own = [xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["class", "own", "shingles"]
-            )
+            # an id that occurs with several texts gives several sets; only that of the class counts, and once
+            use = [i for i, (c, o) in enumerate(zip(batch.column(0).to_pylist(), own, strict=True)) if c == o and o not in seen]
+            use = list({own[i]: i for i in use}.values())
+            seen |= {own[i] for i in use} if len(seen) < 500_000 else set()
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in use], pa.int64()), pa.array([found[i].tobytes() for i in use], pa.binary())], ["class", "shingles"])
 
     texts = docs.join(wanted.hint("shuffle_hash"), "__id").select("class", "__text")
-    made = texts.mapInArrow(sets, "class long, own long, shingles binary")
-    # an id that occurs with several texts gives several sets; only that of the class counts
-    return made.where("class = own").dropDuplicates(["class"]).select("class", "shingles")
+    return texts.mapInArrow(sets, "class long, shingles binary")
+
 
+def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs a, b of similar classes, of those that fine counts leave.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b of similar classes. A lead b with many partners is dealt out in tiles, its set to each of them."""
+    A lead b with many partners is dealt out in tiles, its set to each of them.
+    """
+    pairs = written(refined(pairs, known))
+    used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = written(shingle_sets(docs, known.select("class", "__id").join(used, "class")))
     tiles = pairs.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("b").orderBy("a")) - 1) / TILE).cast("int"))
     tiles = written(tiles)
     leads = tiles.select(F.col("b").alias("class"), "b", "tile", F.lit(0).alias("kind")).distinct()
@@ -187,7 +241,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     dealt = dealt.select("class", "b", "tile", "kind", "shingles").repartition(parts, "b", "tile").sortWithinPartitions("b", "tile", "kind")
-    return dealt.mapInArrow(compare, "a long, b long")
+    out = written(dealt.mapInArrow(compare, "a long, b long").distinct())
+    for table in (pairs, sets, tiles):
+        drop(table)
+    return out
 
 
 # ------------------------------------------------------------------------------------------------------- R-trees
@@ -250,31 +307,34 @@ def surviving(tiles: DataFrame) -> DataFrame:
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-            if len(rows) < 2:
-                return []
-            side, own, comp, n, points = (np.array(x) for x in zip(*rows, strict=True))
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rest = None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            points = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, GROUPS)
+            columns.append(points)
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            key, t1, t2 = columns[:3]
+            if not len(key):
+                continue
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
+            last = cuts[-1] if len(cuts) else 0
+            edges = np.append(0, cuts)
+            yield pairs(columns, edges)
+            rest = [c[last:] for c in columns]
+        if rest is not None:
+            yield pairs(rest, np.array([0, len(rest[0])]))
+
+    def pairs(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        side, own, comp, n, points = columns[3:]
+        out = set()
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            here = np.arange(start, end)
+            left, right = here[side[start:end] == 0], here[side[start:end] == 1]
             if not len(right):
                 right = left
-            elif not len(left):
-                return []
-            return [(max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))) for i, j in tree_join(n, points, comp, left, right)]
-
-        at, rows = None, []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for key, t1, t2, *row in zip(*columns, strict=True):
-                if (key, t1, t2) != at:
-                    out += pairs(rows)
-                    at, rows = (key, t1, t2), []
-                rows.append(tuple(row))
-            yield as_batch(out)
-        yield as_batch(pairs(rows))
-
-    def as_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
-        out = list(set(out))
+            for i, j in tree_join(n, points, comp, left, right) if len(left) else ():
+                out.add((max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "point").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
@@ -302,39 +362,48 @@ def tiled(members: DataFrame) -> DataFrame:
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the least key that links lead to), one row for each row of df."""
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    rows = written(described(docs, heavy_levels(docs)))
-    shared = blocks(rows)
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"), F.first("n").alias("n"), F.first("point", ignorenulls=True).alias("point"))
+    full = written(described(docs, heavy_levels(docs)))
+    shared = blocks(full)
+    classes = full.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
     wanted = shared.select("class").distinct()
-    known = written(classes.join(wanted, "class"))
-    sets = written(shingle_sets(docs, known.select("class", "__id")))
+    vectors = full.where("point is not null").select("class", "n", "point", "fine").join(wanted, "class").groupBy("class").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    known = written(classes.join(vectors, "class"))
+    rows = written(full.select("__id", "n", "class"))
+    drop(full)
 
     most = Window.partitionBy("class").orderBy(F.desc("blocks"), "lead")
     led = shared.where("class <> lead").groupBy("class", "lead").agg(F.count("*").alias("blocks")).withColumn("rank", F.row_number().over(most)).where("rank = 1")
-    stars = bounded(led.select(F.col("class").alias("a"), F.col("lead").alias("b")), known)
-    links = written(verified(stars, sets))
+    links = verified(led.select(F.col("class").alias("a"), F.col("lead").alias("b")), docs, known)
 
     found = components(links)
     labels = known.select("class", "n", "point").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     members = shared.select("key", "class").join(labels, "class")
-    pairs = surviving(tiled(members))
-    more = written(verified(pairs, sets))
+    more = verified(surviving(tiled(members)), docs, known)
 
     found = written(components(links.unionByName(more)))
-    labels = classes.select("class", "__id").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = Window.partitionBy("component")
-    named = labels.select("class", F.min("__id").over(least).alias("component_id"))
-    out = rows.select("__id", "n", "class").join(named, "class", "left")
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
+    labels = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    roots = labels.groupBy("component").agg(F.min("__id").alias("component_id"))
+    named = labels.join(roots, "component").select("class", "component_id")
+    out = rows.join(named, "class", "left")
     return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
 
 
-def bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """pairs a, b whose sizes and summed minima of counts leave room for similarity."""
-    one = known.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    two = known.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    least = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    room = (NUM * F.col("na") <= DEN * F.col("nb")) & (NUM * F.col("nb") <= DEN * F.col("na")) & ((NUM + DEN) * least >= NUM * (F.col("na") + F.col("nb")))
-    return pairs.join(one, "a").join(two, "b").where(room).select("a", "b")
+def refined(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs a, b that the summed minima of fine counts leave."""
+
+    def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for na, fa, nb, fb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                bound = fine_bound(np.frombuffer(fa.as_py(), np.uint16), np.frombuffer(fb.as_py(), np.uint16))
+                good.append((NUM + DEN) * bound >= NUM * (na.as_py() + nb.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = known.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    two = known.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "fa", "nb", "fb")
+    return both.mapInArrow(room, "a long, b long")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
