@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftcorpus.functions.text import NOT_WS, ratio
+
 
 @dataclass(frozen=True)
 class Gate:
@@ -33,9 +35,9 @@ GATES = {
 }
 
 
-def reason(gate: Gate, n_words: Column, ratio: Column, label: Column, score: Column, script: str = "devanagari") -> Column:
+def reason(gate: Gate, n_words: Column, share: Column, label: Column, score: Column, script: str = "devanagari") -> Column:
     """Why a document is rejected; null if it is not."""
-    c = F.when(n_words < gate.min_words, "too_short").when(F.coalesce(ratio, F.lit(0.0)) < gate.min_ratio, f"not_enough_{script}")
+    c = F.when(n_words < gate.min_words, "too_short").when(F.coalesce(share, F.lit(0.0)) < gate.min_ratio, f"not_enough_{script}")
     if gate.reject:
         c = c.when(label == gate.reject, f"langid_{gate.reject}_rejected")
     if gate.accept:
@@ -48,9 +50,7 @@ def reason(gate: Gate, n_words: Column, ratio: Column, label: Column, score: Col
 
 def fixture_gate(docs: DataFrame) -> DataFrame:
     """The fixtures' documents with a reason: 40 words, 70 % Latin letters, no Spanish, English only."""
-    from weftcorpus.functions.text import NOT_WS, ratio as share
-
-    latin = share(F.regexp_count("text", F.lit("[A-Za-z]")), F.regexp_count("text", F.lit(NOT_WS)))
+    latin = ratio(F.regexp_count("text", F.lit("[A-Za-z]")), F.regexp_count("text", F.lit(NOT_WS)))
     gate = Gate(40, 0.70, "es", "en")
     return docs.withColumn("reason", reason(gate, F.col("n_words"), latin, F.col("lang"), F.lit(1.0), "latin"))
 
