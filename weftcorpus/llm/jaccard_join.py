@@ -9,10 +9,10 @@ minima of its upper bounds.
    higher the threshold). The order puts shingles that a count sketch of the whole corpus shows to be very frequent
    last, so that common passages don't make keys. Classes with a common key form a block; of blocks with equal
    members one is kept.
-2. Each class is verified against the class that leads most of its blocks. Copies of one text meet there,
-   so a group of any size costs a comparison a class.
+2. Each class is verified against the class that leads most of its blocks, in a few turns with other leads. Copies of
+   one text meet there, so a group of any size costs a few comparisons a class.
 3. In blocks that hold several components still, tiles of the block are indexed by R-trees and joined:
-   boxes by size and by bound, then points, then only pairs across components are verified.
+   boxes by size and by bound, then points, then by finer counts; only pairs across components are verified.
 
 Every pair of similar classes shares a block, and within a block a pair is left out only if a bound rules it out or
 its classes are linked already. So the components are those of all similar pairs. Shingles are compared by 64-bit
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from weftcorpus.llm.components import components
 from weftcorpus.llm.shared import Rolling, WordHashes, drop, text_bytes, written
 
-SHINGLE, GROUPS, FINE = 5, 128, 2048
+SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 6
 #: Similar sets: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 SLOTS, HEAVY, LEAST = 1 << 22, 2.5, 48
@@ -122,43 +122,42 @@ def counts(found: np.ndarray, groups: int) -> np.ndarray:
 
 
 def fine_counts(found: np.ndarray) -> np.ndarray:
-    """Counts by about one group for two hashes, FINE at most: a power of two of groups, so that they can be folded."""
-    groups = min(FINE, 1 << max(1, (len(found) // 2).bit_length()))
-    while (made := counts(found, groups)).max() > 65535:
+    """Counts by about one group for two hashes, from GROUPS to FINE, as bytes; a power of two, so that they can be folded."""
+    groups = min(FINE, max(GROUPS, 1 << (len(found) // 2).bit_length()))
+    while (made := counts(found, groups)).max() > 255:
         groups *= 2
-    return made.astype(np.uint16)
+    return made.astype(np.uint8)
+
+
+def folded(fine: np.ndarray, groups: int) -> np.ndarray:
+    return fine.reshape(groups, -1).sum(axis=1, dtype=np.int64)
 
 
 def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
     """The summed minima of two vectors of fine counts, the longer one folded to the length of the other."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).sum(axis=1, dtype=np.int64)
-    return int(np.minimum(a, b).sum(dtype=np.int64))
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
 def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """__id, n, class, point, fine, keys; the last three of a class stand in the first row that a task has of it."""
+    """__id, n, class, fine, keys; the last two of a class stand in the first row that a task has of it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order, seen = WordHashes(), np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            sizes, classes, points, fine, keys = [], [], [], [], []
+            sizes, classes, fine, keys = [], [], [], []
             for found in map(np.unique, shingle_hashes(raw_texts(batch.column(1)), hashes)):
                 sizes.append(len(found))
                 own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
                 classes.append(own)
                 if own is None or own in seen:
-                    points.append(None)
                     fine.append(None)
                     keys.append(None)
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(own)
-                points.append(counts(found, GROUPS).astype(np.uint32).tobytes())
                 fine.append(fine_counts(found).tobytes())
                 n = prefix_length(len(found))
                 level = order[(found & np.uint64(len(order) - 1)).astype(np.int64)]
@@ -166,16 +165,16 @@ def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     found = found[np.argsort(level, kind="stable")]
                 keys.append(found[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["__id", "n", "class", "point", "fine", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["__id", "n", "class", "fine", "keys"],
             )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, point binary, fine binary, keys array<long>")
+    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, fine binary, keys array<long>")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """key, class, lead: blocks of two classes or more, one of those with equal members; lead is the least class."""
+    """key, class: blocks of two classes or more, one of those with equal members."""
     each = rows.where("keys is not null").select(F.explode("keys").alias("key"), "class")
     block = Window.partitionBy("key")
     digest = F.xxhash64("class")
@@ -186,7 +185,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     each = written(each)
     members = ["lead", "last", "s1", "s2", "m"]
     kept = each.where("class = lead").groupBy(*members).agg(F.min("key").alias("key"))
-    out = written(each.join(kept.select("key"), "key", "left_semi").select("key", "class", "lead").distinct())
+    out = written(each.join(kept.select("key"), "key", "left_semi").select("key", "class").distinct())
     drop(each)
     return out
 
@@ -206,7 +205,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             seen |= {own[i] for i in use} if len(seen) < 500_000 else set()
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in use], pa.int64()), pa.array([found[i].tobytes() for i in use], pa.binary())], ["class", "shingles"])
 
-    texts = docs.join(wanted.hint("shuffle_hash"), "__id").select("class", "__text")
+    texts = docs.join(wanted, "__id").select("class", "__text")
     return texts.mapInArrow(sets, "class long, shingles binary")
 
 
@@ -217,7 +216,8 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """
     pairs = written(refined(pairs, known))
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(shingle_sets(docs, known.select("class", "__id").join(used, "class")))
+    used = written(known.select("class", "__id").join(used, "class"))
+    sets = written(shingle_sets(docs, used))
     tiles = pairs.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("b").orderBy("a")) - 1) / TILE).cast("int"))
     tiles = written(tiles)
     leads = tiles.select(F.col("b").alias("class"), "b", "tile", F.lit(0).alias("kind")).distinct()
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
 
     dealt = dealt.select("class", "b", "tile", "kind", "shingles").repartition(parts, "b", "tile").sortWithinPartitions("b", "tile", "kind")
     out = written(dealt.mapInArrow(compare, "a long, b long").distinct())
-    for table in (pairs, sets, tiles):
+    for table in (pairs, used, sets, tiles):
         drop(table)
     return out
 
@@ -302,7 +302,7 @@ def tree_join(n: np.ndarray, points: np.ndarray, group: np.ndarray, left: np.nda
 def surviving(tiles: DataFrame) -> DataFrame:
     """Distinct pairs a > b of classes of one tile, or of two tiles of one block, that the R-trees leave.
 
-    tiles: key, t1, t2, side, class, component, n, point; a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
+    tiles: key, t1, t2, side, class, component, n, fine; a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
     """
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -310,8 +310,9 @@ def surviving(tiles: DataFrame) -> DataFrame:
         rest = None
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            points = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, GROUPS)
-            columns.append(points)
+            fine = np.empty(len(batch.column(7)), object)
+            fine[:] = [np.frombuffer(x, np.uint8) for x in batch.column(7).to_pylist()]
+            columns.append(fine)
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             key, t1, t2 = columns[:3]
@@ -326,7 +327,8 @@ def surviving(tiles: DataFrame) -> DataFrame:
             yield pairs(rest, np.array([0, len(rest[0])]))
 
     def pairs(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-        side, own, comp, n, points = columns[3:]
+        side, own, comp, n, fine = columns[3:]
+        points = np.stack([folded(f, GROUPS) for f in fine]) if len(fine) else np.zeros((0, GROUPS), np.int64)
         out = set()
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             here = np.arange(start, end)
@@ -334,15 +336,17 @@ def surviving(tiles: DataFrame) -> DataFrame:
             if not len(right):
                 right = left
             for i, j in tree_join(n, points, comp, left, right) if len(left) else ():
-                out.add((max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))))
+                if (pair := (max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j])))) not in out and (NUM + DEN) * fine_bound(fine[i], fine[j]) >= NUM * int(n[i] + n[j]):
+                    out.add(pair)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "point").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "fine").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def tiled(members: DataFrame) -> DataFrame:
-    """members (key, class, component, n, point) of blocks with several components, as pairs of tiles of TILE rows.
+def tiled(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """members (key, class, component, n) of blocks with several components, as pairs of tiles of TILE rows; and the
+    tables that this reads.
 
     Rows are ordered by size, so tiles whose sizes are too unlike are not paired.
     """
@@ -355,7 +359,7 @@ def tiled(members: DataFrame) -> DataFrame:
     both = written(first.join(second, near).select("x.key", F.col("x.t").alias("t1"), F.col("y.t").alias("t2")))
     one = both.join(numbered.withColumnRenamed("t", "t1"), ["key", "t1"]).withColumn("side", F.lit(0))
     two = both.where("t1 < t2").join(numbered.withColumnRenamed("t", "t2"), ["key", "t2"]).withColumn("side", F.lit(1))
-    return one.unionByName(two)
+    return one.unionByName(two), [numbered, both]
 
 
 # ------------------------------------------------------------------------------------------------------ the join
@@ -366,29 +370,52 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = blocks(full)
     classes = full.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
     wanted = shared.select("class").distinct()
-    vectors = full.where("point is not null").select("class", "n", "point", "fine").join(wanted, "class").groupBy("class").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.first("fine").alias("fine"))
+    vectors = full.where("fine is not null").select("class", "n", "fine").join(wanted, "class").groupBy("class").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
     known = written(classes.join(vectors, "class"))
     rows = written(full.select("__id", "n", "class"))
     drop(full)
 
-    most = Window.partitionBy("class").orderBy(F.desc("blocks"), "lead")
-    led = shared.where("class <> lead").groupBy("class", "lead").agg(F.count("*").alias("blocks")).withColumn("rank", F.row_number().over(most)).where("rank = 1")
-    links = verified(led.select(F.col("class").alias("a"), F.col("lead").alias("b")), docs, known)
-
-    found = components(links)
-    labels = known.select("class", "n", "point").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    members = shared.select("key", "class").join(labels, "class")
-    more = verified(surviving(tiled(members)), docs, known)
+    links = verified(stars(shared, known), docs, known)
+    labels = written(labelled(known.select("class", "n"), components(links)))
+    tiles, tables = tiled(shared.join(labels, "class"))
+    pairs = written(surviving(tiles.join(known.select("class", "fine"), "class")))
+    for table in (shared, labels, *tables):
+        drop(table)
+    more = verified(pairs, docs, known)
 
     found = written(components(links.unionByName(more)))
+    for table in (pairs, known, links, more):
+        drop(table)
     classes = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
-    labels = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labels = labelled(classes, found)
     roots = labels.groupBy("component").agg(F.min("__id").alias("component_id"))
     named = labels.join(roots, "component").select("class", "component_id")
     out = rows.join(named, "class", "left")
     return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
 
 
+def labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes with component; a class without links is its own."""
+    return classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def stars(shared: DataFrame, known: DataFrame, turns: int = ROUNDS) -> DataFrame:
+    """a, b: each class with the class that leads most of its blocks, in each turn.
+
+    In the first turn a block is led by the class that meets most others for its size, as the text that copies were
+    made from does, in the second by the one that meets most others, then by those with the least hashes.
+    """
+    block = Window.partitionBy("key")
+    sized = shared.withColumn("m", F.count("*").over(block))
+    degrees = written(sized.groupBy("class").agg(F.sum("m").alias("degree")).join(known.select("class", "n"), "class"))
+    members = shared.join(degrees, "class")
+    ranks = [F.col("degree") / F.col("n"), F.col("degree").cast("double")] + [F.xxhash64(F.lit(i), "class").cast("double") for i in range(2, turns)]
+    leads = [F.struct(F.lit(i).alias("turn"), F.max(F.struct(rank.alias("r"), "class")).over(block)["class"].alias("lead")) for i, rank in enumerate(ranks)]
+    led = members.select("class", F.array(*leads).alias("leads")).select("class", F.explode("leads").alias("x")).select("class", "x.turn", "x.lead").where(F.col("class") != F.col("lead"))
+    counts = led.groupBy("class", "turn", "lead").agg(F.count("*").alias("n")).groupBy("class", "turn").agg(F.max(F.struct("n", "lead")).alias("best"))
+    return counts.select(F.col("class").alias("a"), F.col("best.lead").alias("b")).distinct()
+
+
 def refined(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs a, b that the summed minima of fine counts leave."""
 
@@ -396,7 +423,7 @@ def refined(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for na, fa, nb, fb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                bound = fine_bound(np.frombuffer(fa.as_py(), np.uint16), np.frombuffer(fb.as_py(), np.uint16))
+                bound = fine_bound(np.frombuffer(fa.as_py(), np.uint8), np.frombuffer(fb.as_py(), np.uint8))
                 good.append((NUM + DEN) * bound >= NUM * (na.as_py() + nb.as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -108,10 +109,12 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weft-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    began = time.monotonic()
     df.write.parquet(path)
     _written.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the cleaner then removes shuffle files of plans that nothing holds any more
+    if time.monotonic() - began > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # the cleaner then removes shuffle files of plans that nothing holds any more
     table = spark.read.schema(df.schema).parquet(path)
     table._weft_path = path
     return table
