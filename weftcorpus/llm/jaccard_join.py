@@ -182,9 +182,9 @@ def blocks(rows: DataFrame) -> DataFrame:
         "key", "class", F.min("class").over(block).alias("lead"), F.max("class").over(block).alias("last"),
         F.sum(digest.bitwiseAND(0xFFFFFFFF)).over(block).alias("s1"), F.sum(F.shiftrightunsigned(digest, 32)).over(block).alias("s2"), F.count("*").over(block).alias("m"),
     ).where("lead < last")
-    each = written(each)
-    members = ["lead", "last", "s1", "s2", "m"]
-    kept = each.where("class = lead").groupBy(*members).agg(F.min("key").alias("key"))
+    members = F.struct("lead", "last", "s1", "s2", "m")
+    each = written(each.select("key", "class", F.when(F.col("class") == F.col("lead"), members).alias("members")))
+    kept = each.where("members is not null").groupBy("members").agg(F.min("key").alias("key"))
     out = written(each.join(kept.select("key"), "key", "left_semi").select("key", "class").distinct())
     drop(each)
     return out
@@ -299,10 +299,19 @@ def tree_join(n: np.ndarray, points: np.ndarray, group: np.ndarray, left: np.nda
     return out
 
 
+def boxed(values: list) -> np.ndarray:
+    """A one-dimensional array of objects, also where these are sequences of one length."""
+    out = np.empty(len(values), object)
+    for i, v in enumerate(values):
+        out[i] = v
+    return out
+
+
 def surviving(tiles: DataFrame) -> DataFrame:
     """Distinct pairs a > b of classes of one tile, or of two tiles of one block, that the R-trees leave.
 
-    tiles: key, t1, t2, side, class, component, n, fine; a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
+    tiles: key, t1, t2, side, class, component, n, fine, keys (of all blocks of a class); a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
+    A pair is given in the first block that both have, and nowhere else.
     """
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -310,9 +319,9 @@ def surviving(tiles: DataFrame) -> DataFrame:
         rest = None
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            fine = np.empty(len(batch.column(7)), object)
-            fine[:] = [np.frombuffer(x, np.uint8) for x in batch.column(7).to_pylist()]
-            columns.append(fine)
+            columns.append(boxed([np.frombuffer(x, np.uint8) for x in batch.column(7).to_pylist()]))
+            ends = batch.column(8).offsets.to_numpy()
+            columns.append(boxed(np.split(batch.column(8).values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0])))
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             key, t1, t2 = columns[:3]
@@ -327,7 +336,7 @@ def surviving(tiles: DataFrame) -> DataFrame:
             yield pairs(rest, np.array([0, len(rest[0])]))
 
     def pairs(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-        side, own, comp, n, fine = columns[3:]
+        key, (side, own, comp, n, fine, keys) = columns[0], columns[3:]
         points = np.stack([folded(f, GROUPS) for f in fine]) if len(fine) else np.zeros((0, GROUPS), np.int64)
         out = set()
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -336,11 +345,13 @@ def surviving(tiles: DataFrame) -> DataFrame:
             if not len(right):
                 right = left
             for i, j in tree_join(n, points, comp, left, right) if len(left) else ():
-                if (pair := (max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j])))) not in out and (NUM + DEN) * fine_bound(fine[i], fine[j]) >= NUM * int(n[i] + n[j]):
-                    out.add(pair)
+                pair = max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))
+                if pair not in out and (NUM + DEN) * fine_bound(fine[i], fine[j]) >= NUM * int(n[i] + n[j]):
+                    if np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key[i]:
+                        out.add(pair)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "fine").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "fine", "keys").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
@@ -378,7 +389,8 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     links = verified(stars(shared, known), docs, known)
     labels = written(labelled(known.select("class", "n"), components(links)))
     tiles, tables = tiled(shared.join(labels, "class"))
-    pairs = written(surviving(tiles.join(known.select("class", "fine"), "class")))
+    places = tables[0].groupBy("class").agg(F.collect_list("key").alias("keys"))
+    pairs = written(surviving(tiles.join(known.select("class", "fine").join(places, "class"), "class")))
     for table in (shared, labels, *tables):
         drop(table)
     more = verified(pairs, docs, known)
