@@ -145,6 +145,34 @@ def test_equal_words_get_equal_interior_symbols():
     assert found[0] and all(f == found[0] for f in found)
 
 
+def test_equal_windows_beside_runs_of_unlike_length(spark):
+    import numpy as np
+
+    rng, width = random.Random(3), 12
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        core = [rng.choice(vocabulary) for _ in range(width)]
+        at = rng.randrange(3)
+        if at != 1:
+            core[: rng.randrange(1, 4)] = [core[0]]
+        if at != 0:
+            core[-rng.randrange(1, 4) :] = [core[-1]]
+        core = (core + [core[-1]] * width)[:width]
+        for i in range(3):
+            left = [f"l{k}.{i}"] * 3 + [core[0]] * rng.choice((0, 0, 5, 30))
+            rows.append((3 * k + i, " ".join(left + core + [core[-1]] * rng.choice((0, 0, 5, 30)) + [f"r{k}.{i}"] * 3)))
+    words, begins, ends = substring_dedup.joined_words([t.encode() for _, t in rows], substring_dedup.WordHashes())
+    doc, around, _, place, many = substring_dedup.anchored(words, begins, ends, width)
+    found = defaultdict(set)
+    for d, a, p, m in zip(doc, around, place, many):
+        for j in range(p, p + m):
+            found[tuple(words[begins[d] + j : begins[d] + j + width].tolist())].add(int(a))
+    assert len(found) < int(np.sum(many)) and all(len(v) == 1 for v in found.values())
+    got = substring_dedup.deduplicated(table(spark, rows), window=width).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert Counter(map(tuple, got)) == plain_cut(rows, width)
+
+
 # -------------------------------------------------------------------------------------------------- Jaccard join
 def plain_components(rows):
     sets = []

@@ -69,7 +69,7 @@ class Parse:
         self.name, self.low, self.high = name, low, high
 
     def runs(self) -> None:
-        """Names each run of one symbol; that it ends where it does, its neighbours decide."""
+        """Names each run of one symbol; that it ends where it does, the one symbol next to it on each side decides."""
         name = self.name
         if len(name) < 2:
             return
@@ -78,11 +78,13 @@ class Parse:
         low, high = np.minimum.reduceat(self.low, heads), np.maximum.reduceat(self.high, heads)
         one = name[heads]
         made = np.where(lengths > 1, mixed(one ^ mixed(lengths.astype(np.uint64) + np.uint64(0x5BF03635))), one)
+        # only the element next to a run decides where it ends, however far that element's own run goes on
+        before, after = heads[1:] - 1, heads[1:]
         wide_low, wide_high = low.copy(), high.copy()
-        wide_low[1:] = np.minimum(low[1:], low[:-1])
-        wide_high[1:] = np.maximum(high[1:], high[:-1])
-        wide_low[:-1] = np.minimum(wide_low[:-1], low[1:])
-        wide_high[:-1] = np.maximum(wide_high[:-1], high[1:])
+        wide_low[1:] = np.minimum(low[1:], self.low[before])
+        wide_high[1:] = np.maximum(high[1:], self.high[before])
+        wide_low[:-1] = np.minimum(wide_low[:-1], self.low[after])
+        wide_high[:-1] = np.maximum(wide_high[:-1], self.high[after])
         self.keep(heads, wide_low, wide_high, made)
 
     def pairs(self, seed: int) -> None:
