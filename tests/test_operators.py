@@ -30,6 +30,25 @@ def test_greedy_near_removal_equals_the_sequential_one(spark):
     assert {r["id"] for r in got if r["keeper"] is not None} == dropped and len(got) == 40 and dropped
 
 
+def test_one_band_of_unlike_rows_is_decided_whole(spark):
+    rng = random.Random(8)
+    base = [[7] * 8 + [rng.randrange(1 << 30) for _ in range(120)] for _ in range(1200)]
+    for i in range(0, 1200, 7):
+        base[i][8:] = base[i // 2][8:118] + base[i][118:]
+    rows = spark.createDataFrame([((i % 3 == 0, f"s{i % 5}", i), i, s) for i, s in enumerate(base)], "ord struct<a boolean, b string, c long>, id long, signature array<int>")
+    kept, want = [], {}
+    for r in sorted(rows.collect(), key=lambda r: tuple(r["ord"])):
+        like = [k for k, s in kept if sum(x == y for x, y in zip(s, r["signature"])) / 128 >= 0.85]
+        want[r["id"]] = like[0] if like else None
+        kept += [] if like else [(r["id"], r["signature"])]
+    assert 1000 < len(kept) < 1200  # more than a thousand rounds of one leader
+    for found in (near.greedy(rows), near.greedy(rows, block=500)):
+        got = {r["id"]: r["keeper"] for r in found.collect()}
+        assert got.keys() == want.keys() and {i for i in got if got[i] is None} == {i for i, _ in kept}
+        for i, k in got.items():
+            assert k is None or want[k] is None and sum(x == y for x, y in zip(base[i], base[k])) / 128 >= 0.85
+
+
 def test_long_texts_keep_their_near_copies(spark):
     rng = random.Random(1)
     long = [chr(97 + rng.randrange(26)) for _ in range(6000)]
