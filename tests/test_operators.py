@@ -101,6 +101,26 @@ def test_metrics(spark):
     assert abs(metrics.chrf(text, "k", "h", "r").first()["chrf"] - 100) < 1e-9
 
 
+def test_rouge_l_reads_whole_texts(spark, tmp_path):
+    from weftcorpus.plans import registry
+
+    rng = random.Random(4)
+    texts = [None, "", "a b c d e", *(" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (6, 12, 39, 40, 41, 200, 700))]
+    spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    common = total = 0
+    for w in ((t or "").split() for t in texts):
+        h, r = w[: max(len(w) - 5, 0)], w[5:]
+        total += len(h)
+        row = [0] * (len(r) + 1)
+        for x in h:
+            above, row = row, [0]
+            for j, y in enumerate(r):
+                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        common += row[-1]
+    got = registry.queries()["rouge_l"](spark, str(tmp_path)).first()
+    assert all(abs(got[c] - 100 * common / total) < 1e-9 for c in ("rouge_l", "precision", "recall"))
+
+
 def test_tokens(spark):
     assert tokens.parameters(512, 7, 2048, 2500, 512, tied=False)["total"] == 24_892_356
     rows = spark.createDataFrame([(i, [5] * (i % 4)) for i in range(200)], "k long, ids array<int>")

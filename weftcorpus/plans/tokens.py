@@ -166,7 +166,9 @@ def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rouge_l(pairs(spark, sf_dir), "h", "r")
+    """Of whole texts: all words but the last five as if generated, all but the first five as their reference."""
+    n = F.greatest(F.size("w") - 5, F.lit(0))
+    return metrics.rouge_l(documents(spark, sf_dir).select(F.slice("w", F.lit(1), n).alias("h"), F.slice("w", F.lit(6), n).alias("r")), "h", "r")
 
 
 @add(f"""WITH x AS (SELECT {W} AS w FROM documents), u AS (SELECT g, count(*) AS c FROM (SELECT unnest(w) AS g FROM x) GROUP BY g), b AS (SELECT g, count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) AS g FROM x) GROUP BY g),
