@@ -30,17 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftcorpus.llm.components import components
-from weftcorpus.llm.shared import Rolling, WordHashes, drop, text_bytes, written
+from weftcorpus.llm.shared import Rolling, WordHashes, drop, mixed, partitions, text_bytes, written
 
 SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 6
 #: Similar sets: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 SLOTS, HEAVY, LEAST = 1 << 22, 2.5, 48
-TILE, LEAF = 256, 16
+TILE, LEAF, PORTION = 256, 16, 512
+#: Bits of a packed key: those of the shingle, and of each of two codes of sizes.
+KEY, CODE = 43, 10
 
 
 def shingle_hashes(texts: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -87,32 +89,46 @@ def similar(common: int, a: int, b: int) -> bool:
 
 
 # ------------------------------------------------------------------------------------------- frequent shingles
-def heavy_levels(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """For each slot of a count sketch of all shingles: 0, or how far it lies above HEAVY times the mean (LEAST at least).
+def heavy_levels(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of a count sketch of all shingles: 0, or how far it lies above HEAVY times the mean (LEAST at least);
+    and for each such level the number of portions that its blocks are dealt out in.
 
     A task counts in a table of fixed size and hands on only slots far above its own mean, of which there can be but
-    a fixed share. The result orders shingles, and decides nothing else.
+    a fixed share. The result orders shingles and cuts blocks, and decides nothing else.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, total = WordHashes(), np.zeros(slots, np.int32), 0
+        hashes, table, total = WordHashes(), np.zeros(slots, np.int64), 0
         for batch in batches:
             for found in shingle_hashes(raw_texts(batch.column(0)), hashes):
                 total += len(found)
                 np.add.at(table, (found & np.uint64(slots - 1)).astype(np.int64), 1)
         at = np.flatnonzero(table > 1.5 * total / slots + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["slot", "n"])
 
-    counts = written(docs.select("__text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
-    total = counts.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+    found = written(docs.select("__text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    total = found.where("slot = -1").agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, HEAVY * total / slots)
+    level = F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col("n") / F.lit(float(least))))).cast("int")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [batch.column(0).to_numpy().astype("<u4").tobytes(), batch.column(1).to_numpy().astype(np.uint8).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["slots", "levels"])
+
     levels = np.zeros(slots, np.uint8)
-    # bounded: at most slots / HEAVY rows can have HEAVY times the mean
-    for r in counts.where((F.col("slot") >= 0) & (F.col("n") >= least)).collect():
-        levels[r["slot"]] = min(255, 1 + int(4 * np.log2(r["n"] / least)))
-    drop(counts)
-    return levels
+    # bounded: at most slots / HEAVY slots can have HEAVY times the mean, of five bytes each
+    for r in found.where((F.col("slot") >= 0) & (F.col("n") >= least)).select("slot", level.alias("level")).mapInArrow(encode, "slots binary, levels binary").collect():
+        levels[np.frombuffer(r["slots"], "<u4")] = np.frombuffer(r["levels"], np.uint8)
+    drop(found)
+    return levels, portions_by_level(least)
+
+
+def portions_by_level(least: float) -> np.ndarray:
+    """How many portions of about PORTION rows a block of each level makes."""
+    rows = np.append(0, least * 2.0 ** (np.arange(1, 256) / 4))
+    return np.clip(np.ceil(rows / PORTION), 1, 1 << 2 * CODE).astype(np.int64)
 
 
 # ------------------------------------------------------------------------------------------------- the classes
@@ -139,17 +155,43 @@ def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
 
 
-def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """__id, n, class, fine, keys; the last two of a class stand in the first row that a task has of it."""
+def size_code(x: np.ndarray) -> np.ndarray:
+    """A size on a scale of 34 steps for each doubling, in CODE bits; greater sizes never have smaller codes."""
+    return np.minimum(np.log2(np.maximum(x, 1)) * 34, (1 << CODE) - 1).astype(np.int64)
+
+
+def packed_keys(found: np.ndarray, level: np.ndarray, own: int, salts: np.ndarray) -> np.ndarray:
+    """The keys of a set, a long for each of its first shingles: KEY bits of the shingle and the rest.
+
+    The rest is the code of the set's size and that of the largest partner that this place leaves: if a pair's first
+    common shingle stands at place i of n, they share n - i at most. A shingle that the sketch shows to be very
+    frequent has no such codes; its rest, marked by a bit, deals the block out in portions.
+    """
+    n = len(found)
+    if level.any():
+        order = np.argsort(level, kind="stable")
+        found, level = found[order], level[order]
+    m = prefix_length(n)
+    found, portions_of = found[:m], salts[level[:m]]
+    partner = ((NUM + DEN) * (n - np.arange(m)) - NUM * n) / NUM
+    light = size_code(np.array([n])) << CODE | size_code(np.ceil(partner))
+    heavy = (own & 0x7FFFFFFF) % portions_of & (1 << 2 * CODE) - 1 | 1 << 2 * CODE
+    base = (found >> np.uint64(64 - KEY) << np.uint64(64 - KEY)).view(np.int64)
+    return base | np.where(portions_of > 1, heavy, light)
+
+
+def described(docs: DataFrame, levels: np.ndarray, salts: np.ndarray) -> DataFrame:
+    """__id, n, class, n_keys, fine, keys; the last three of a class stand in the first row that a task has of it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order, seen = WordHashes(), np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             sizes, classes, fine, keys = [], [], [], []
-            for found in map(np.unique, shingle_hashes(raw_texts(batch.column(1)), hashes)):
+            known = batch.column(0).is_valid().to_pylist()
+            for i, found in enumerate(map(np.unique, shingle_hashes(raw_texts(batch.column(1)), hashes))):
                 sizes.append(len(found))
-                own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
+                own = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) and known[i] else None
                 classes.append(own)
                 if own is None or own in seen:
                     fine.append(None)
@@ -159,34 +201,90 @@ def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(own)
                 fine.append(fine_counts(found).tobytes())
-                n = prefix_length(len(found))
                 level = order[(found & np.uint64(len(order) - 1)).astype(np.int64)]
-                if level.any():
-                    found = found[np.argsort(level, kind="stable")]
-                keys.append(found[:n].view(np.int64))
+                keys.append(packed_keys(found, level, own, salts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["__id", "n", "class", "fine", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array([0 if k is None else len(k) for k in keys], pa.int64()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["__id", "n", "class", "n_keys", "fine", "keys"],
             )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, fine binary, keys array<long>")
+    return docs.select("__id", "__text").mapInArrow(describe, f"__id {kind}, n long, class long, n_keys long, fine binary, keys array<long>")
+
+
+def partnered(group: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows have another one in their group (rows stand in the order of groups) whose size each leaves room for.
+
+    Groups of more than PORTION rows are taken as they are.
+    """
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    lengths = np.diff(np.append(heads, len(group)))
+    many = np.repeat(lengths, lengths)
+    good = many > PORTION
+    at = np.flatnonzero((many > 1) & ~good)
+    left = np.repeat(heads + lengths, lengths)[at] - at  # rows from here to the end of the group
+    step = 1
+    while len(at := at[left > step]):
+        left = left[left > step]
+        fits = (size[at] <= most[at + step]) & (size[at + step] <= most[at])
+        good[at[fits]] = good[at[fits] + step] = True
+        step += 1
+    return good
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """key, class: blocks of two classes or more, one of those with equal members."""
-    each = rows.where("keys is not null").select(F.explode("keys").alias("key"), "class")
-    block = Window.partitionBy("key")
-    digest = F.xxhash64("class")
-    each = each.select(
-        "key", "class", F.min("class").over(block).alias("lead"), F.max("class").over(block).alias("last"),
-        F.sum(digest.bitwiseAND(0xFFFFFFFF)).over(block).alias("s1"), F.sum(F.shiftrightunsigned(digest, 32)).over(block).alias("s2"), F.count("*").over(block).alias("m"),
-    ).where("lead < last")
-    members = F.struct("lead", "last", "s1", "s2", "m")
-    each = written(each.select("key", "class", F.when(F.col("class") == F.col("lead"), members).alias("members")))
-    kept = each.where("members is not null").groupBy("members").agg(F.min("key").alias("key"))
-    out = written(each.join(kept.select("key"), "key", "left_semi").select("key", "class").distinct())
-    drop(each)
+    """key, class, n: blocks of two classes or more that may be alike, one of those with equal members.
+
+    Rows are dealt out by key (a very frequent one by key and portion) and stream through in order; what a task gives
+    of a block is a part of it, and the parts' marks add up to those of the block.
+    """
+    each = rows.where("keys is not null").select(F.explode("keys").alias("packed"), "class", "n")
+    total = rows.agg(F.sum("n_keys")).first()[0] or 0
+    rest = (1 << 64 - KEY) - 1
+    frequent = F.col("packed").bitwiseAND(1 << 2 * CODE) != 0
+    dealt = each.select("packed", "class").repartition(partitions(rows.sparkSession, total, 4_000_000), F.when(frequent, F.col("packed")).otherwise(F.col("packed").bitwiseAND(~rest)))
+
+    def part(columns: list[np.ndarray]) -> pa.RecordBatch:
+        packed, own = columns
+        new = np.append(True, (packed[1:] != packed[:-1]) | (own[1:] != own[:-1]))[: len(packed)]
+        packed, own = packed[new], own[new]
+        heavy = packed & 1 << 2 * CODE != 0
+        group = np.where(heavy, packed, packed & ~rest)
+        keep = heavy | partnered(group, packed >> CODE & (1 << CODE) - 1, packed & (1 << CODE) - 1)
+        group, own = group[keep], own[keep]
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+        marks = [np.full(len(group), None, object) for _ in range(5)]
+        if len(heads):
+            digest = mixed(own.view(np.uint64))
+            sums = [np.add.reduceat(x.astype(np.int64), heads) for x in (digest & np.uint64(0xFFFFFFFF), digest >> np.uint64(32), np.ones(len(own)))]
+            for column, values in zip(marks, [np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads), *sums], strict=True):
+                column[heads] = values
+        return pa.RecordBatch.from_arrays([pa.array(group & ~rest), pa.array(own), *(pa.array(x, pa.int64()) for x in marks)], ["key", "class", "lead", "last", "s1", "s2", "m"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(2)]
+            if not len(columns[0]):
+                continue
+            held.append(columns)
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            group = whole[0] & ~rest
+            cut = np.searchsorted(group, group[-1])
+            if cut or len(group) > PORTION * 64:  # beyond that a block goes on in parts
+                cut = cut or len(group)
+                yield part([x[:cut] for x in whole])
+                whole = [x[cut:] for x in whole]
+            held = [whole] if len(whole[0]) else []
+        if held:
+            yield part([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    kind = "key long, class long, lead long, last long, s1 long, s2 long, m long"
+    found = written(dealt.sortWithinPartitions("packed", "class").mapInArrow(sweep, kind))
+    marks = found.where("m is not null").groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("m").alias("m")).where("lead < last")
+    kept = marks.groupBy("lead", "last", "s1", "s2", "m").agg(F.min("key").alias("key")).select("key")
+    out = written(found.join(kept, "key", "left_semi").select("key", "class").distinct())
+    drop(found)
     return out
 
 
@@ -218,12 +316,12 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     used = written(known.select("class", "__id").join(used, "class"))
     sets = written(shingle_sets(docs, used))
-    tiles = pairs.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("b").orderBy("a")) - 1) / TILE).cast("int"))
-    tiles = written(tiles)
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    tiles = written(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("tiles")).cast("int").alias("tile")))
     leads = tiles.select(F.col("b").alias("class"), "b", "tile", F.lit(0).alias("kind")).distinct()
     members = tiles.select(F.col("a").alias("class"), "b", "tile", F.lit(1).alias("kind"))
     dealt = leads.unionByName(members).join(sets, "class")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs.sparkSession, tiles.count(), 20_000)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead = None, np.zeros(0, np.uint64)
@@ -299,29 +397,46 @@ def tree_join(n: np.ndarray, points: np.ndarray, group: np.ndarray, left: np.nda
     return out
 
 
-def boxed(values: list) -> np.ndarray:
-    """A one-dimensional array of objects, also where these are sequences of one length."""
-    out = np.empty(len(values), object)
-    for i, v in enumerate(values):
-        out[i] = v
+def small_join(n: np.ndarray, points: np.ndarray, group: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """What tree_join gives for each of many blocks (rows in their order) of no more than a leaf's rows."""
+    out: list[tuple[int, int]] = []
+    heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    lengths = np.diff(np.append(heads, len(block)))
+    at, left = np.arange(len(block)), np.repeat(heads + lengths, lengths) - np.arange(len(block))
+    step = 1
+    while len(at := at[left > step]):
+        left = left[left > step]
+        to = at + step
+        fits = (group[at] != group[to]) & (NUM * n[at] <= DEN * n[to]) & (NUM * n[to] <= DEN * n[at])
+        i, j = at[fits], to[fits]
+        bound = np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64)
+        good = (NUM + DEN) * bound >= NUM * (n[i] + n[j])
+        out += zip(i[good].tolist(), j[good].tolist(), strict=True)
+        step += 1
     return out
 
 
-def surviving(tiles: DataFrame) -> DataFrame:
+def point_bytes(fine: np.ndarray) -> bytes:
+    """GROUPS counts as bytes, or as wider numbers where one doesn't fit."""
+    point = folded(fine, GROUPS)
+    return point.astype(np.uint8 if point.max() < 256 else np.uint32).tobytes()
+
+
+def point_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32).astype(np.int32)
+
+
+def surviving(tiles: DataFrame, parts: int) -> DataFrame:
     """Distinct pairs a > b of classes of one tile, or of two tiles of one block, that the R-trees leave.
 
-    tiles: key, t1, t2, side, class, component, n, fine, keys (of all blocks of a class); a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
-    A pair is given in the first block that both have, and nowhere else.
+    tiles: key, t1, t2, side, class, component, n, point; a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
     """
-    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            columns.append(boxed([np.frombuffer(x, np.uint8) for x in batch.column(7).to_pylist()]))
-            ends = batch.column(8).offsets.to_numpy()
-            columns.append(boxed(np.split(batch.column(8).values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0])))
+            columns = [batch.column(i).to_numpy() for i in range(7)]
+            columns.append(np.array([point_of(x) for x in batch.column(7).to_pylist()], np.int32).reshape(-1, GROUPS))
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             key, t1, t2 = columns[:3]
@@ -329,55 +444,63 @@ def surviving(tiles: DataFrame) -> DataFrame:
                 continue
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
             last = cuts[-1] if len(cuts) else 0
-            edges = np.append(0, cuts)
-            yield pairs(columns, edges)
+            yield pairs(columns, np.append(0, cuts))
             rest = [c[last:] for c in columns]
         if rest is not None:
             yield pairs(rest, np.array([0, len(rest[0])]))
 
     def pairs(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-        key, (side, own, comp, n, fine, keys) = columns[0], columns[3:]
-        points = np.stack([folded(f, GROUPS) for f in fine]) if len(fine) else np.zeros((0, GROUPS), np.int64)
-        out = set()
-        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        side, own, comp, n, points = columns[3:]
+        lengths = np.diff(edges)
+        paired = np.add.reduceat(side, edges[:-1])[: len(lengths)] > 0 if len(lengths) else np.zeros(0, bool)
+        small = (lengths <= LEAF) & ~paired
+        block = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(np.repeat(small, lengths))
+        found = [(at[i], at[j]) for i, j in small_join(n[at], points[at], comp[at], block[at])]
+        for start, end in zip(edges[:-1][~small].tolist(), edges[1:][~small].tolist(), strict=True):
             here = np.arange(start, end)
             left, right = here[side[start:end] == 0], here[side[start:end] == 1]
-            if not len(right):
-                right = left
-            for i, j in tree_join(n, points, comp, left, right) if len(left) else ():
-                pair = max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))
-                if pair not in out and (NUM + DEN) * fine_bound(fine[i], fine[j]) >= NUM * int(n[i] + n[j]):
-                    if np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == key[i]:
-                        out.add(pair)
+            if len(left):
+                found += tree_join(n, points, comp, left, right if len(right) else left)
+        out = {(max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))) for i, j in found}
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
-    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "fine", "keys").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    dealt = tiles.select("key", "t1", "t2", "side", "class", "component", "n", "point").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
 def tiled(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """members (key, class, component, n) of blocks with several components, as pairs of tiles of TILE rows; and the
-    tables that this reads.
+    """members (key, class, component, n) of blocks with several components, as pairs of tiles of about TILE rows; and
+    the tables that this reads.
 
-    Rows are ordered by size, so tiles whose sizes are too unlike are not paired.
+    A block of no more than TILE rows is one tile. A larger one is cut by size and then by chance; tiles whose sizes
+    are too unlike are not paired, nor those that hold only classes of the block's largest component.
     """
-    block = Window.partitionBy("key")
-    mixed = members.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block)).where("low < high").drop("low", "high")
-    numbered = written(mixed.withColumn("t", F.floor((F.row_number().over(block.orderBy("n", "class")) - 1) / TILE).cast("int")))
-    bounds = numbered.groupBy("key", "t").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    facts = counts.groupBy("key").agg(F.sum("c").alias("rows"), F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("main")).where("kinds > 1")
+    some = members.join(facts, "key")
+    step = F.floor(F.log2("n") * 4).cast("long") * 2 + (F.col("component") == F.col("main")).cast("long")
+    large = F.col("rows") > TILE
+    some = written(some.select("key", "class", "component", "n", F.when(large, step).otherwise(-1).alias("step"), F.when(large, F.col("component") == F.col("main")).otherwise(False).alias("is_main")))
+    sizes = some.where("step >= 0").groupBy("key", "step").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
+    spread = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("class"), F.col("cuts"))
+    numbered = some.join(sizes, ["key", "step"], "left").withColumn("t", F.when(F.col("step") < 0, F.lit(-1).cast("long")).otherwise(spread))
+    numbered = written(numbered.select("key", "class", "component", "n", "is_main", "t"))
+    bounds = numbered.groupBy("key", "t").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.bool_and("is_main").alias("is_main"))
     first, second = bounds.alias("x"), bounds.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.t") <= F.col("y.t")) & (NUM * F.col("y.low") <= DEN * F.col("x.high"))
-    both = written(first.join(second, near).select("x.key", F.col("x.t").alias("t1"), F.col("y.t").alias("t2")))
-    one = both.join(numbered.withColumnRenamed("t", "t1"), ["key", "t1"]).withColumn("side", F.lit(0))
-    two = both.where("t1 < t2").join(numbered.withColumnRenamed("t", "t2"), ["key", "t2"]).withColumn("side", F.lit(1))
-    return one.unionByName(two), [numbered, both]
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.t") <= F.col("y.t")) & (NUM * F.col("y.low") <= DEN * F.col("x.high")) & (NUM * F.col("x.low") <= DEN * F.col("y.high"))
+    both = written(first.join(second, near & ~(F.col("x.is_main") & F.col("y.is_main"))).select("x.key", F.col("x.t").alias("t1"), F.col("y.t").alias("t2")))
+    rows = numbered.drop("is_main")
+    one = both.join(rows.withColumnRenamed("t", "t1"), ["key", "t1"]).withColumn("side", F.lit(0))
+    two = both.where("t1 < t2").join(rows.withColumnRenamed("t", "t2"), ["key", "t2"]).withColumn("side", F.lit(1))
+    return one.unionByName(two), [some, numbered, both]
 
 
 # ------------------------------------------------------------------------------------------------------ the join
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the least key that links lead to), one row for each row of df."""
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    full = written(described(docs, heavy_levels(docs)))
+    full = written(described(docs, *heavy_levels(docs)))
     shared = blocks(full)
     classes = full.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
     wanted = shared.select("class").distinct()
@@ -385,13 +508,15 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     known = written(classes.join(vectors, "class"))
     rows = written(full.select("__id", "n", "class"))
     drop(full)
-
-    links = verified(stars(shared, known), docs, known)
-    labels = written(labelled(known.select("class", "n"), components(links)))
-    tiles, tables = tiled(shared.join(labels, "class"))
-    places = tables[0].groupBy("class").agg(F.collect_list("key").alias("keys"))
-    pairs = written(surviving(tiles.join(known.select("class", "fine").join(places, "class"), "class")))
-    for table in (shared, labels, *tables):
+    members = written(shared.join(known.select("class", "n"), "class"))
+    drop(shared)
+
+    links = verified(stars(members), docs, known)
+    labels = labelled(known.select("class"), components(links))
+    tiles, tables = tiled(members.join(labels, "class"))
+    parts = partitions(df.sparkSession, members.count(), 50_000)
+    pairs = written(surviving(tiles.join(pointed(known), "class"), parts))
+    for table in (members, *tables):
         drop(table)
     more = verified(pairs, docs, known)
 
@@ -406,25 +531,38 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
 
 
+def pointed(known: DataFrame) -> DataFrame:
+    """class, point."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [point_bytes(np.frombuffer(x, np.uint8)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], ["class", "point"])
+
+    return known.select("class", "fine").mapInArrow(fold, "class long, point binary")
+
+
 def labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
     """classes with component; a class without links is its own."""
     return classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def stars(shared: DataFrame, known: DataFrame, turns: int = ROUNDS) -> DataFrame:
-    """a, b: each class with the class that leads most of its blocks, in each turn.
+def stars(members: DataFrame, turns: int = ROUNDS) -> DataFrame:
+    """a, b: each class with the class that leads most of its blocks, in each turn, where sizes allow it.
 
     In the first turn a block is led by the class that meets most others for its size, as the text that copies were
     made from does, in the second by the one that meets most others, then by those with the least hashes.
     """
-    block = Window.partitionBy("key")
-    sized = shared.withColumn("m", F.count("*").over(block))
-    degrees = written(sized.groupBy("class").agg(F.sum("m").alias("degree")).join(known.select("class", "n"), "class"))
-    members = shared.join(degrees, "class")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"))
+    ranked = members.join(sizes, "key").groupBy("class").agg(F.sum("m").alias("degree"), F.first("n").alias("n"))
+    ranked = written(ranked)
+    placed = members.select("key", "class").join(ranked, "class")
     ranks = [F.col("degree") / F.col("n"), F.col("degree").cast("double")] + [F.xxhash64(F.lit(i), "class").cast("double") for i in range(2, turns)]
-    leads = [F.struct(F.lit(i).alias("turn"), F.max(F.struct(rank.alias("r"), "class")).over(block)["class"].alias("lead")) for i, rank in enumerate(ranks)]
-    led = members.select("class", F.array(*leads).alias("leads")).select("class", F.explode("leads").alias("x")).select("class", "x.turn", "x.lead").where(F.col("class") != F.col("lead"))
-    counts = led.groupBy("class", "turn", "lead").agg(F.count("*").alias("n")).groupBy("class", "turn").agg(F.max(F.struct("n", "lead")).alias("best"))
+    first = [F.max(F.struct(rank.alias("r"), "class", "n")).alias(f"l{i}") for i, rank in enumerate(ranks)]
+    leads = placed.groupBy("key").agg(*first)
+    leads = leads.select("key", F.array(*[F.struct(F.lit(i).alias("turn"), F.col(f"l{i}.class").alias("lead"), F.col(f"l{i}.n").alias("size")) for i in range(turns)]).alias("leads"))
+    led = members.join(leads, "key").select("class", "n", F.explode("leads").alias("x")).where((F.col("class") != F.col("x.lead")) & (NUM * F.col("n") <= DEN * F.col("x.size")) & (NUM * F.col("x.size") <= DEN * F.col("n")))
+    counts = led.groupBy("class", "x.turn", "x.lead").agg(F.count("*").alias("c")).groupBy("class", "turn").agg(F.max(F.struct("c", "lead")).alias("best"))
     return counts.select(F.col("class").alias("a"), F.col("best.lead").alias("b")).distinct()
 
 

@@ -146,6 +146,11 @@ def release() -> None:
 atexit.register(release)
 
 
+def partitions(spark: SparkSession, amount: int, each: int) -> int:
+    """The session's number of shuffle partitions, or as many more as keep each at an amount of about each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet (names are compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}
