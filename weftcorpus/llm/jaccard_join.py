@@ -40,7 +40,7 @@ SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 6
 #: Similar sets: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 SLOTS, HEAVY, LEAST = 1 << 22, 2.5, 48
-TILE, LEAF, PORTION = 256, 16, 512
+TILE, LEAF, PORTION, UNITE = 256, 16, 512, 8
 #: Bits of a packed key: those of the shingle, and of each of two codes of sizes.
 KEY, CODE = 43, 10
 
@@ -233,12 +233,12 @@ def partnered(group: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarr
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """key, class, n: blocks of two classes or more that may be alike, one of those with equal members.
+    """key, class: blocks of two classes or more that may be alike, one of those with equal members.
 
     Rows are dealt out by key (a very frequent one by key and portion) and stream through in order; what a task gives
     of a block is a part of it, and the parts' marks add up to those of the block.
     """
-    each = rows.where("keys is not null").select(F.explode("keys").alias("packed"), "class", "n")
+    each = rows.where("keys is not null").select(F.explode("keys").alias("packed"), "class")
     total = rows.agg(F.sum("n_keys")).first()[0] or 0
     rest = (1 << 64 - KEY) - 1
     frequent = F.col("packed").bitwiseAND(1 << 2 * CODE) != 0
@@ -282,9 +282,26 @@ def blocks(rows: DataFrame) -> DataFrame:
     kind = "key long, class long, lead long, last long, s1 long, s2 long, m long"
     found = written(dealt.sortWithinPartitions("packed", "class").mapInArrow(sweep, kind))
     marks = found.where("m is not null").groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("m").alias("m")).where("lead < last")
-    kept = marks.groupBy("lead", "last", "s1", "s2", "m").agg(F.min("key").alias("key")).select("key")
-    out = written(found.join(kept, "key", "left_semi").select("key", "class").distinct())
-    drop(found)
+    swept, marks, found = found, written(marks), written(found.select("key", "class").distinct())
+    drop(swept)
+    united = united_blocks(found, marks)
+    apart = marks.join(united.select("lead").distinct(), "lead", "left_anti").unionByName(marks.where(F.col("m") < UNITE).join(united.select("lead").distinct(), "lead", "left_semi"))
+    kept = apart.groupBy("lead", "last", "s1", "s2", "m").agg(F.min("key").alias("key")).select("key")
+    out = written(found.join(kept, "key", "left_semi").unionByName(united.select(F.col("lead").bitwiseOR(1).alias("key"), "class")))
+    for table in (found, marks, united):
+        drop(table)
+    return out
+
+
+def united_blocks(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """lead, class: blocks of UNITE rows or more that have their least class in common, as one block, where that has at
+    most twice the rows of the largest of them: a passage or a group of copies makes many blocks that are nearly equal."""
+    large = marks.where(F.col("m") >= UNITE).select("key", "lead", "m")
+    rows = written(found.join(large, "key").select("lead", "class").distinct())
+    most = large.groupBy("lead").agg(F.max("m").alias("m"))
+    good = rows.groupBy("lead").agg(F.count("*").alias("n")).join(most, "lead").where("n <= 2 * m").select("lead")
+    out = written(rows.join(good, "lead"))
+    drop(rows)
     return out
 
 
@@ -426,8 +443,21 @@ def point_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32).astype(np.int32)
 
 
-def surviving(tiles: DataFrame, parts: int) -> DataFrame:
-    """Distinct pairs a > b of classes of one tile, or of two tiles of one block, that the R-trees leave.
+def nearest(found: list[tuple[int, int]], n: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs of places the one of each place whose summed minima are the largest share of both sizes."""
+    if not found:
+        return found
+    i, j = np.array(found).T
+    share = np.concatenate([np.minimum(points[i[at : at + 4096]], points[j[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)]) / (n[i] + n[j])
+    i, j, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+    order = np.lexsort((j, -share, i))
+    first = order[np.append(True, i[order][1:] != i[order][:-1])]
+    return list(zip(i[first].tolist(), j[first].tolist(), strict=True))
+
+
+def surviving(tiles: DataFrame, parts: int, best: bool = False) -> DataFrame:
+    """Distinct pairs a > b of classes of one tile, or of two tiles of one block, that the R-trees leave; with best only
+    the nearest one of each class in each tile.
 
     tiles: key, t1, t2, side, class, component, n, point; a pair of tiles (t1 < t2) has rows of side 0 and of side 1.
     """
@@ -461,7 +491,8 @@ def surviving(tiles: DataFrame, parts: int) -> DataFrame:
             here = np.arange(start, end)
             left, right = here[side[start:end] == 0], here[side[start:end] == 1]
             if len(left):
-                found += tree_join(n, points, comp, left, right if len(right) else left)
+                some = tree_join(n, points, comp, left, right if len(right) else left)
+                found += nearest(some, n, points) if best else some
         out = {(max(int(own[i]), int(own[j])), min(int(own[i]), int(own[j]))) for i, j in found}
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
@@ -512,16 +543,10 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     drop(shared)
 
     links = verified(stars(members), docs, known)
-    labels = labelled(known.select("class"), components(links))
-    tiles, tables = tiled(members.join(labels, "class"))
-    parts = partitions(df.sparkSession, members.count(), 50_000)
-    pairs = written(surviving(tiles.join(pointed(known), "class"), parts))
-    for table in (members, *tables):
-        drop(table)
-    more = verified(pairs, docs, known)
-
-    found = written(components(links.unionByName(more)))
-    for table in (pairs, known, links, more):
+    for best in (True, False):
+        links = written(links.unionByName(searched(members, links, docs, known, best)))
+    found = written(components(links))
+    for table in (members, known, links):
         drop(table)
     classes = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
     labels = labelled(classes, found)
@@ -531,6 +556,19 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
 
 
+def searched(members: DataFrame, links: DataFrame, docs: DataFrame, known: DataFrame, best: bool) -> DataFrame:
+    """The links that R-trees over the blocks find between what links leave apart."""
+    labels = labelled(known.select("class"), components(links))
+    tiles, tables = tiled(members.join(labels, "class"))
+    parts = partitions(docs.sparkSession, members.count(), 50_000)
+    pairs = written(surviving(tiles.join(pointed(known), "class"), parts, best))
+    for table in tables:
+        drop(table)
+    out = verified(pairs, docs, known)
+    drop(pairs)
+    return out
+
+
 def pointed(known: DataFrame) -> DataFrame:
     """class, point."""
 
