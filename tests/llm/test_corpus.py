@@ -263,26 +263,50 @@ def test_connected_components(spark):
 def test_raked_weights_meet_their_targets(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor" * rng.randrange(1, 5)]) for _ in range(rng.randrange(1, 60))), rng.choice(["en", "fr", None]), rng.choice(["a"] * 6 + ["b", "c", None]), 1) for i in range(4000)]
-    df = spark.createDataFrame(rows + [(None, None, None, None, None), (9, "", "en", "a", 0)], DOCS).withColumn("KEPT", F.lit(0))
-    known = mixing.described(df)
-    cells = [r.asDict() for r in mixing.fitted(known, sweeps=40).collect()]
-    for margin in ("__source", "__lang"):
-        share = defaultdict(float)
-        tokens = defaultdict(float)
-        for c in cells:
+    df = spark.createDataFrame(rows + [(None, None, None, None, None), (9, "", "en", "a", 0)], DOCS).withColumn("KEPT", F.lit(0)).withColumn("__source", F.lit("mine"))
+    got = mixing.mixed(df, budget=0.5).collect()
+    assert len(got) == 4002 and all(0 <= r["probability"] <= 1 and r["__source"] == "mine" for r in got)
+    cells = mixing.targets(spark.createDataFrame([(s, la, t, rng.randrange(1, 900)) for s in ("a", "b", None) for la in ("x", "y") for t in range(3)], "source string, lang string, topic int, tokens long"))
+    weighed, error = mixing.fitted(cells)
+    weights = [r.asDict() for r in weighed.collect()]
+    assert error <= mixing.TOLERANCE and mixing.residual(weighed) == error
+    for margin in mixing.MARGINS:
+        share, tokens = defaultdict(float), defaultdict(float)
+        for c in weights:
             share[c[margin]] += c["weight"]
             tokens[c[margin]] += c["tokens"]
         total = sum(t**0.5 for t in tokens.values())
         for k in share:
-            assert abs(share[k] / sum(share.values()) - tokens[k] ** 0.5 / total) < 0.01
-    got = mixing.mixed(df, budget=0.5).collect()
-    assert len(got) == 4002 and all(0 <= r["probability"] <= 1 for r in got)
+            assert abs(share[k] / (tokens[k] ** 0.5 / total) - 1) < 0.01
+    # targets that contradict each other leave an error, which is told
+    apart = mixing.targets(spark.createDataFrame([("a", "x", 0, 900), ("b", "y", 0, 100), ("b", "y", 1, 100)], "source string, lang string, topic int, tokens long"))
+    assert mixing.fitted(apart.withColumn("target_lang", F.lit(0.5)), most=6)[1] > 0.01
     expected = sum(r["probability"] * max(1, r["n_tokens"]) for r in got)
     assert abs(expected / sum(max(1, r["n_tokens"]) for r in got) - 0.5) < 0.01
     kept = sum(r["n_tokens"] for r in got if r["kept"])
     assert abs(kept / sum(r["n_tokens"] for r in got) - 0.5) < 0.05
     assert all(r["kept"] for r in mixing.mixed(df, budget=2.0).collect()) and mixing.mixed(df.limit(0)).count() == 0
     assert {(r["doc_id"], r["kept"]) for r in got} == {(r["doc_id"], r["kept"]) for r in mixing.mixed(df, budget=0.5, broadcast_cells=0).collect()}
+    given = mixing.mixed(df.withColumn("topic", F.pmod("doc_id", F.lit(3)).cast("string")), topic="topic").select("doc_id", "topic").collect()
+    assert all(r["topic"] == (None if r["doc_id"] is None else str(r["doc_id"] % 3)) for r in given)
+
+
+def test_topics_cut_across_languages(spark):
+    rng = random.Random(8)
+    subjects = {"sea": "boat wave salt harbour sail tide".split(), "law": "court judge trial appeal statute verdict".split(), "food": "bread salt oven flour butter sugar".split()}
+    rows, truth = [], {}
+    for i in range(600):
+        subject, lang = rng.choice(list(subjects)), rng.choice(["en", "fr"])
+        common = ["the", "and", "of"] if lang == "en" else ["le", "et", "de"]
+        words = [rng.choice(subjects[subject]) if rng.random() < 0.5 else rng.choice(common) for _ in range(40)]
+        rows.append((i, " ".join(words), lang, "s", 1))
+        truth[i] = subject
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS), topics=3).collect()
+    sizes = Counter((r["topic"], truth[r["doc_id"]]) for r in got)
+    best = defaultdict(int)
+    for (topic, _), n in sizes.items():
+        best[topic] = max(best[topic], n)
+    assert sum(best.values()) > 0.95 * len(rows)
 
 
 # ----------------------------------------------------------------------------------------------------- pipeline
@@ -299,7 +323,8 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     rows = [(i, fresh(rng.randrange(30, 200)), rng.choice(["en", "fr"]), rng.choice("abc"), 1) for i in range(120)]
     rows += [(200 + i, rows[i][1] + " extra", "en", "a", 1) for i in range(20)] + [(300 + i, fresh(60) + " " + passage + " " + fresh(60), "fr", "b", 1) for i in range(8)]
     rows += [(400, None, None, None, None), (401, "same line\n" * 60, "en", "a", 1)]
-    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    taken = {c: F.lit("mine") for c in ("repeats", "__at", "__source", "__quality", "KEPT_text", "topic")}
+    spark.createDataFrame(rows, DOCS).withColumns(taken).write.parquet(str(tmp_path / "documents.parquet"))
 
     good = [r for r in rows if quality_rules.measure(r[1])[6]]
     comp = {i: c for i, n, c in plain_components([(r[0], r[1]) for r in good])}
@@ -313,4 +338,11 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     want = {i: (len(ids := byte_bpe.encode_text(enc, texts[i], 1 << 30)), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()) for i in chosen}
     got = {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and zlib.crc32(b"") == 0
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.where("repeats = 'mine' and __at = 'mine' and __source = 'mine'").count() == made.count()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "passages", "mixture", "token_ids"]

@@ -146,6 +146,18 @@ def test_bpe_round_trip(spark):
     assert isinstance(part, bytes)
 
 
+@given(st.text(alphabet=st.sampled_from("ab1 '\n\t é漢!s\xa0\x85\x1c\u2003"), max_size=300), st.integers(1, 40), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_cuts_and_runs_change_no_token(text, limit, run):
+    enc = byte_bpe.encoding(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    before = byte_bpe.RUN, byte_bpe.LONG_RUN
+    byte_bpe.RUN, byte_bpe.LONG_RUN = 0, byte_bpe.re.compile(f"[{byte_bpe.SPACE}]{{{run},}}")
+    try:
+        assert byte_bpe.encode_text(enc, text, limit).tolist() == enc.encode_ordinary(text)
+    finally:
+        byte_bpe.RUN, byte_bpe.LONG_RUN = before
+
+
 @given(st.text(alphabet=st.sampled_from("ab1 '\n\t é漢!s"), max_size=300), st.integers(1, 40))
 @settings(max_examples=150, deadline=None)
 def test_cuts_change_no_token(text, limit):
@@ -153,6 +165,32 @@ def test_cuts_change_no_token(text, limit):
     assert byte_bpe.encode_text(enc, text, limit).tolist() == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("kind", [" ", "\t", "\n", "a", "漢", "\u3000"])
+def test_very_long_runs(kind):
+    """Five million times one character, alone and between words; the plain count is that of its bytes merged as one piece."""
+    enc = byte_bpe.encoding(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    n = 5_000_000
+    if kind.isspace():
+        whole, rest = len(enc._encode_single_piece((kind * n).encode())), enc._encode_single_piece((kind * (n - 1)).encode())
+        assert len(byte_bpe.encode_text(enc, kind * n, 50_000)) == whole
+        want = enc.encode_ordinary("one") + rest + enc.encode_ordinary(kind + "two three")
+        assert byte_bpe.encode_text(enc, "one" + kind * n + "two three", 50_000).tolist() == want
+    else:
+        assert byte_bpe.encode_text(enc, kind * n + " x", 50_000).tolist() == enc._encode_single_piece((kind * n).encode()) + enc.encode_ordinary(" x")
+
+
+@pytest.mark.parametrize("kind", [" ", "\t", "\n", "a", "漢", "!"])
+def test_counts_of_long_runs_are_the_library_s_and_take_time_in_proportion(kind):
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, longest = token_counts.tokenizer(open(path, "rb").read())
+    text = "word " + kind * 400_000 + " end"
+    began = time.monotonic()
+    assert token_counts.count_tokens(made, longest, text, 16_384, 256)[0] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False))
+    assert time.monotonic() - began < 30
+
+
 # ------------------------------------------------------------------------------------------------------ quality
 def plain_quality(text):
     import re

@@ -2,10 +2,14 @@
 
 A long text is cut before the library sees it, at places where the pattern's matches provably end whatever
 stands on the other side, so the pieces' ids joined are the text's ids; decoding joins raw bytes, which need
-not be valid UTF-8 token by token.
-
-Defined results: null and empty texts have no tokens, and decode to no bytes; repeated rows give repeated
-results; columns of the input other than the named text column are neither read nor changed.
+not be valid UTF-8 token by token. Such a place is before any white space that follows something else: the pattern
+takes no white space into a match that begins otherwise, and only a run of white space looks ahead. A run of more than
+RUN characters, on which the library's regex engine would run out of stack, never reaches that engine: all of it but
+the last character (all of it at the end of the text) is one match by the pattern, and is merged as one piece.
+
+Defined results: null and empty texts have no tokens, and decode to no bytes; texts of any length, also of one
+repeated character, give what the library gives; an empty table gives no rows; repeated rows give repeated results;
+columns of the input other than the named text column are neither read nor changed, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from pyspark.sql.functions import arrow_udf
 
 from weftcorpus.llm.shared import text_bytes
 
-#: A cut before a space or line end that follows a letter or digit of ASCII: no alternative of the pattern
-#: matches across it, and no look-ahead of the match before it depends on more than the white space after it.
-SAFE = re.compile(r"(?<=[0-9A-Za-z])(?=[ \n])")
+#: Fixed value: what the pattern's \s stands for, Unicode's white space.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+RUN = 1_000
+LONG_RUN = re.compile(f"[{SPACE}]{{{RUN},}}")
 
 
 def pieces(text: str, limit: int) -> Iterator[str]:
@@ -41,6 +47,20 @@ def pieces(text: str, limit: int) -> Iterator[str]:
     yield text[start:]
 
 
+def parts(text: str, limit: int) -> Iterator[tuple[str, bool]]:
+    """text in order, as pieces for the library, and as runs of white space that are one match each (marked True)."""
+    start = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        if run.start() > start:
+            yield from ((p, False) for p in pieces(text[start : run.start()], limit))
+        if end > run.start():
+            yield text[run.start() : end], True
+        start = end
+    if start < len(text):
+        yield from ((p, False) for p in pieces(text[start:], limit))
+
+
 _encodings: dict[tuple[int, str], tiktoken.Encoding] = {}
 
 
@@ -57,9 +77,10 @@ def encode_text(enc: tiktoken.Encoding, text: str | None, limit: int) -> np.ndar
     """ids as little-endian unsigned 32-bit integers."""
     if not text:
         return np.zeros(0, "<u4")
-    if len(text) <= limit:
+    if len(text) <= RUN:
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), "<u4") for p in pieces(text, limit)])
+    found = [enc._encode_single_piece(p.encode()) if run else enc.encode_ordinary(p) for p, run in parts(text, limit)]
+    return np.concatenate([np.array(x, "<u4") for x in found])
 
 
 def read_ranks(path: str) -> bytes:

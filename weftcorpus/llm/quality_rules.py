@@ -5,8 +5,11 @@ occurs again are covered, and the covered characters over all characters of word
 that equal an earlier one are measured in the same way. Hashes are of 64 bits; the windows of three words, whose
 number is a result, are compared by exact word numbers instead.
 
-Defined results: a null or empty text has no words and fails the base rule. All texts are measured whole. Repeated
-rows get equal results. Other columns of the input are left alone.
+Characters are code points throughout, so that scripts are judged alike.
+
+Defined results: a null or empty text has no words and fails the base rule. All texts are measured whole, in memory in
+proportion to the text. Repeated rows get equal results; an empty table gives no rows. Other columns of the input are
+left alone, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ NGRAMS = {5: 0.40, 7: 0.35, 10: 0.30}
 MAX_LINE_COVERAGE, MAX_SYMBOLS_PER_WORD = 0.30, 0.10
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
+#: What UTF-8 has inside characters: bytes without these are as many as code points.
+INSIDE = bytes(range(0x80, 0xC0))
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -60,13 +65,13 @@ def measure(text: str | None) -> tuple:
     for line in raw.split(b"\n"):
         if line in seen:
             dup_lines += 1
-            dup_chars += len(b"".join(line.split()))
+            dup_chars += len(line.translate(None, SPACES + INSIDE))
         elif line.strip(SPACES):
             seen.add(line)
     numbers: dict[bytes, int] = {}
     put = numbers.setdefault
     ids = np.array([put(w, len(numbers)) for w in words], np.int64)
-    long = np.array([len(w) for w in words], np.int64)
+    long = np.array([len(w) for w in words] if raw.isascii() else [len(w.translate(None, INSIDE)) for w in words], np.int64)
     in_words = int(long.sum())
     repeat = 0
     if size > 3:

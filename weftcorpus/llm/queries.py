@@ -75,7 +75,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.mixed(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
+    return made.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "residual", "kept")
 
 
 def queries() -> dict[str, Query]:
@@ -129,31 +129,5 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, min(root)) AS component_id FR
 """
 
 
-def op10_sql() -> str:
-    """The same raking, a window for each margin of each sweep."""
-    steps, last = [], "cells"
-    for i in range(mixing.SWEEPS):
-        for margin, target in (("source", "ts"), ("lang", "tl"), ("topic", "1.0")):
-            name = f"s{i}_{margin}"
-            steps.append(f"{name} AS (SELECT source, lang, topic, tokens, ts, tl, weight * ({target} / sum(weight) OVER (PARTITION BY {margin})) AS weight FROM {last})")
-            last = name
-    return f"""
-WITH split AS (SELECT row_number() OVER () AS n, doc_id, source, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-docs AS (SELECT n, doc_id, coalesce(source, 'null') AS source, coalesce(lang, 'null') AS lang, len(w) AS n_tokens,
-  CASE WHEN len(w) = 0 THEN -1 ELSE (('0x' || substr(md5(list_max(list_transform(w, lambda x: struct_pack(n := length(x), w := x))).w), 1, 4))::INT) % {mixing.TOPICS} END AS topic FROM split),
-counted AS (SELECT source, lang, topic, sum(greatest(n_tokens, 1)) AS tokens FROM docs GROUP BY ALL),
-cells AS (SELECT *, tokens::DOUBLE AS weight, pow(sum(tokens) OVER (PARTITION BY source)::DOUBLE, {mixing.POWER}) AS ts, pow(sum(tokens) OVER (PARTITION BY lang)::DOUBLE, {mixing.POWER}) AS tl FROM counted),
-{", ".join(steps)},
-tried AS (SELECT *, tokens / weight AS ratio,
-  (sum(tokens) OVER () * {mixing.BUDGET} - coalesce(sum(tokens) OVER (ORDER BY tokens / weight, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(weight) OVER (ORDER BY tokens / weight, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s FROM {last}),
-scale AS (SELECT arg_min(s, ratio) AS scale FROM tried WHERE s <= ratio),
-shares AS (SELECT source, lang, topic, coalesce(least(1.0, scale * weight / tokens), 1.0) AS probability FROM {last}, scale)
-SELECT o.doc_id, o.source, o.lang, d.topic::INT AS topic, d.n_tokens, round(p.probability, 9) AS probability,
-  ('0x' || substr(md5('{mixing.SALT}:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < p.probability AS kept
-FROM docs d JOIN split o USING (n) JOIN shares p ON p.source = d.source AND p.lang = d.lang AND p.topic = d.topic
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": op10_sql()}
+    return {"op7_url_filters": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}

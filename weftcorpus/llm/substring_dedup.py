@@ -20,8 +20,9 @@ by their set of words.
 A document whose text equals that of a smaller id goes as a whole, if it has a window at all.
 
 Defined results: null and empty texts have no words; a null id is neither smaller nor greater than others, so its
-words stay. Rows with equal ids are judged each on its own text, and not against each other. Every other column of
-the input is kept; one that is called like a result is replaced.
+words stay. Rows with equal ids are judged each on its own text (told apart by 64-bit hashes), and not against each
+other. Every other column of the input is kept, whatever it is called; one that is called like a result is replaced.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -43,13 +43,9 @@ BATCH = 400_000
 FAR = 1 << 40
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEPARATOR = np.uint64(0)
-#: A row's windows are packed into a number: 15 bits of the text's hash (rows may share an id), 28 of place, one that
-#: tells that the same words stand elsewhere in the text too, 19 of count.
-SHIFT, TAG, TWIN, MOST = 20, 48, 1 << 19, (1 << 19) - 1
-
-
-def fingerprint(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+#: A row's windows are packed into a number: 43 bits of place, one that tells that the same words stand elsewhere in the
+#: text too, 19 of count.
+SHIFT, TWIN, MOST = 20, 1 << 19, (1 << 19) - 1
 
 
 # ---------------------------------------------------------------------------------------------- recompression
@@ -211,7 +207,7 @@ def portions(texts: list[bytes], limit: int) -> Iterator[slice]:
 
 # -------------------------------------------------------------------------------------------------------- steps
 def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """__id, __text_hash, n_words, and arrays around, passage, run.
+    """__id, __text_hash, n_words, and arrays around, passage, run, of docs (__id, __text_hash, __text).
 
     A task gives the arrays of a text only once, for the least id that it has seen with it so far; the others are copies.
     """
@@ -219,9 +215,8 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), {}
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [text_bytes(t.as_py()) for t in batch.column(1)]
-            prints = [fingerprint(t) for t in texts]
+            ids, prints = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [text_bytes(t.as_py()) for t in batch.column(2)]
             sizes = [0] * len(ids)
             arrays: list[list] = [[None] * len(ids) for _ in range(3)]
             use = []
@@ -243,8 +238,7 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 first = np.sort(order[~same])  # of equal rows of a document the first one stands for all
                 doc, around, passage, place, many = (x[first] for x in (doc, around, passage, place, many))
                 edges = np.searchsorted(doc, np.arange(len(begins) + 1))
-                tags = np.array([prints[use[part.start + k]] & 0x7FFF for k in range(len(begins))], np.int64)
-                run = tags[doc] << TAG | place << SHIFT | many
+                run = place << SHIFT | many
                 for k in range(len(begins)):
                     i, cut = use[part.start + k], slice(edges[k], edges[k + 1])
                     sizes[i] = int(ends[k] - begins[k])
@@ -253,81 +247,87 @@ def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sizes[i] = len(texts[i].split())
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(a, kind) for a in arrays)],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(a, kind) for a in arrays)],
                 ["__id", "__text_hash", "n_words", "around", "passage", "run"],
             )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.mapInArrow(describe, f"__id {kind}, __text_hash long, n_words long, around array<long>, passage array<long>, run array<long>")
+    return docs.select("__id", "__text_hash", "__text").mapInArrow(describe, f"__id {kind}, __text_hash long, n_words long, around array<long>, passage array<long>, run array<long>")
 
 
-def unpacked(runs: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and numbers of windows of those runs that are this text's, and whether their words have twins in it."""
+def unpacked(runs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and numbers of windows of runs, and whether their words have twins in the text."""
     packed = np.array(runs, np.int64)
-    packed = packed[packed >> TAG == fingerprint(raw) & 0x7FFF] & (1 << TAG) - 1
     return packed >> SHIFT, packed & MOST, packed & TWIN > 0
 
 
 def window_hashes(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """h, g, __id, run of each window of the runs asked for, once for a document. texts: __id, __text, asked (array of runs)."""
+    """h, g, __id, __text_hash, run of each window of the runs asked for, once for a document. texts: __id, __text_hash,
+    __text, asked (array of runs)."""
     second = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for own, text, asked in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                raw = text_bytes(text.as_py())
-                start, many, twin = unpacked(asked.as_py(), raw)
-                if not len(start):
-                    continue
+            h, g, run, rows = [], [], [], []
+            for row, (text, asked) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                start, many, twin = unpacked(asked.as_py())
                 places = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                words = hashes.array(raw.split())
+                words = hashes.array(text_bytes(text.as_py()).split())
                 words[words == SEPARATOR] = np.uint64(1)
                 found = Rolling(words).ranges(places, places + window)
                 found, index, times = np.unique(found, return_index=True, return_counts=True)
                 places, twin = places[index], np.repeat(twin, many)[index] | (times > 1)
-                out[0].append(found.view(np.int64))
-                out[1].append(Rolling(mixed(words + second)).ranges(places, places + window).view(np.int64))
-                out[2] += [own.as_py()] * len(places)
-                out[3].append((fingerprint(raw) & 0x7FFF) << TAG | places << SHIFT | np.where(twin, TWIN, 0) | 1)
-            flat = [np.concatenate([np.zeros(0, np.int64), *out[k]]) for k in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1]), pa.array(out[2], batch.column(0).type), pa.array(flat[2])], ["h", "g", "__id", "run"])
+                h.append(found.view(np.int64))
+                g.append(Rolling(mixed(words + second)).ranges(places, places + window).view(np.int64))
+                run.append(places << SHIFT | np.where(twin, TWIN, 0) | 1)
+                rows.append(np.full(len(places), row))
+            h, g, run, rows = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (h, g, run, rows))
+            own = [batch.column(i).take(pa.array(rows)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), *own, pa.array(run)], ["h", "g", "__id", "__text_hash", "run"])
 
     kind = texts.schema["__id"].dataType.simpleString()
-    return texts.select("__id", "__text", "asked").mapInArrow(describe, f"h long, g long, __id {kind}, run long")
+    return texts.select("__id", "__text_hash", "__text", "asked").mapInArrow(describe, f"h long, g long, __id {kind}, __text_hash long, run long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """__id and repeats: the runs of windows that repeat those of smaller ids."""
-    docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
+    """__id, __text_hash and repeats: the runs of windows of a text that repeat those of smaller ids."""
+    docs = df.select(F.col(key).alias("__id"), text_hash(F.col(text)).alias("__text_hash"), F.col(text).alias("__text"))
+    own = ["__id", "__text_hash"]
 
     rows = written(passages(docs, window))
-    firsts = rows.where("__id is not null").groupBy("__text_hash").agg(F.min("__id").alias("__first"))
+    # what is shared is a table of its own, so that joins with it can be split where a text or a passage is hot
+    firsts = written(rows.where("__id is not null").groupBy("__text_hash").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last"))
     copies = rows.join(firsts, "__text_hash").where((F.col("__id") > F.col("__first")) & (F.col("n_words") >= window))
-    tag = F.shiftleft(F.col("__text_hash").bitwiseAND(0x7FFF), TAG)
     last = F.col("n_words") - window
-    runs = F.transform(F.sequence(F.lit(0).cast("long"), last, F.lit(MOST).cast("long")), lambda i: tag.bitwiseOR(F.shiftleft(i, SHIFT)).bitwiseOR(F.least(F.lit(MOST).cast("long"), last + 1 - i)))
-    copies = written(copies.select("__id", runs.alias("repeats")))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), last, F.lit(MOST).cast("long")), lambda i: F.shiftleft(i, SHIFT).bitwiseOR(F.least(F.lit(MOST).cast("long"), last + 1 - i)))
+    copies = written(copies.select(*own, runs.alias("repeats")))
+    drop(firsts)
 
-    each = rows.where("around is not null").select("__id", F.explode(F.arrays_zip("around", "passage", "run")).alias("r")).select("__id", "r.*")
-    least = each.groupBy("passage").agg(F.min("__id").alias("__first"))
-    judged = written(each.join(least, "passage").select("__id", "run", F.when(F.col("__first") == F.col("__id"), F.col("around")).alias("around")))
+    each = rows.where("around is not null").select(*own, F.explode(F.arrays_zip("around", "passage", "run")).alias("r")).select(*own, "r.*")
+    least = written(each.groupBy("passage").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last").drop("__last"))
+    judged = written(each.join(least, "passage", "left").select(*own, "run", F.when(F.coalesce(F.col("__first") == F.col("__id"), F.lit(True)), F.col("around")).alias("around")))
     drop(rows)
-    known = written(judged.where("around is null").groupBy("__id").agg(F.collect_list("run").alias("repeats")))
+    drop(least)
+    known = written(judged.where("around is null").groupBy(*own).agg(F.collect_list("run").alias("repeats")))
 
     open_ = judged.where("around is not null")
-    shared = open_.groupBy("around").agg(F.min("__id").alias("x"), F.max("__id").alias("y")).where("x < y").select("around")
-    asked = written(open_.join(shared, "around").groupBy("__id").agg(F.collect_list("run").alias("asked")))
+    shared = written(open_.groupBy("around").agg(F.min("__id").alias("x"), F.max("__id").alias("y")).where("x < y").select("around"))
+    asked = written(open_.join(shared, "around").groupBy(*own).agg(F.collect_list("run").alias("asked")))
     drop(judged)
-    windows = written(window_hashes(docs.join(asked.hint("shuffle_hash"), "__id"), window))
+    drop(shared)
+    windows = written(window_hashes(docs.join(asked.hint("shuffle_hash"), own), window))
     drop(asked)
-    first = windows.groupBy("h", "g").agg(F.min("__id").alias("__first"))
-    single = windows.join(first, ["h", "g"]).where("__first < __id").groupBy("__id").agg(F.collect_list("run").alias("repeats"))
+    first = written(windows.groupBy("h", "g").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last").drop("__last"))
+    single = windows.join(first, ["h", "g"]).where("__first < __id").groupBy(*own).agg(F.collect_list("run").alias("repeats"))
 
     found = copies.unionByName(known).unionByName(single)
-    out = written(found.groupBy("__id").agg(F.flatten(F.collect_list("repeats")).alias("repeats")))
-    for table in (copies, known, windows):
+    out = written(found.groupBy(*own).agg(F.flatten(F.collect_list("repeats")).alias("repeats")))
+    for table in (copies, known, windows, first):
         drop(table)
     return out
 
@@ -336,7 +336,7 @@ def kept_words(raw: bytes, runs: list[int] | None, window: int, hashes: WordHash
     words = raw.split()
     if not runs:
         return words, 0
-    start, many, twin = unpacked(runs, raw)
+    start, many, twin = unpacked(runs)
     if twin.any():  # also where else the same words stand
         values = hashes.array(words)
         values[values == SEPARATOR] = np.uint64(1)
@@ -375,7 +375,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     """df with n_words, n_removed and kept_text, the words that stay joined by one space."""
     results = ("n_words", "n_removed", "kept_text")
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in results])
-    found = repeats(df, key, text, window).withColumnRenamed("__id", key)
-    result = fresh(df, "__result")
-    joined = df.join(found.hint("shuffle_hash"), key, "left").withColumn(result, _cutter(window)(F.coalesce(F.col(text), F.lit("")), F.col("repeats")))
-    return joined.select(*df.columns, f"{result}.n_words", f"{result}.n_removed", F.col(f"{result}.kept").alias("kept_text"))
+    result, runs, print_ = (fresh(df, name) for name in ("__result", "__repeats", "__text_hash"))
+    found = repeats(df, key, text, window).toDF(key, print_, runs)
+    hashed = df.withColumn(print_, text_hash(F.col(text)))
+    joined = hashed.join(found.hint("shuffle_hash"), [key, print_], "left").withColumn(result, _cutter(window)(F.coalesce(F.col(text), F.lit("")), F.col(runs)))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], f"{result}.n_words", f"{result}.n_removed", F.col(f"{result}.kept").alias("kept_text"))

@@ -4,10 +4,12 @@ A text of more than ``chunk`` characters is encoded in overlapping chunks. Two c
 boundary: a place in their overlap where, in both, one pre-token ends and the next begins, far enough from the
 end of the first chunk that nothing beyond it can have been seen. A pre-tokeniser scans from left to right, so
 from such a place on the second chunk gives what a scan of the whole text gives, and up to it the first does.
-If an overlap holds no such place it is doubled, until it does or the chunk reaches the end of the text.
+If an overlap holds no such place it is doubled, until it does; where a whole chunk holds none, as in a run of one
+character, the chunk is doubled, so that the work stays in proportion to the text.
 
 Defined results: null and empty texts have 0 tokens. Special strings inside texts count as the library counts
-them by default: as one token each, also where a chunk would cut them. Ties cannot occur; repeated rows repeat.
+them by default: as one token each, also where a chunk would cut them. Ties cannot occur; repeated rows repeat; an
+empty table gives no rows. Only the named text column is read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def count_tokens(made, longest: int, text: str, chunk: int, overlap: int) -> tup
                 break
             widened += 1
             if b_begin == begin + 1:  # nothing in common in all of the chunk: the chunk itself must grow
-                end = min(len(text), end + chunk)
+                end = min(len(text), 2 * end - begin)
                 current = encode(text[begin:end])
                 a_at, a_index = starts(current)
                 a_at = a_at + begin

@@ -8,9 +8,10 @@ Every hit is weighed by its word, less for each edit, and by its window of token
 words of report or mention speak for quotation, second persons, further hits and exclamation for abuse. A logistic
 function of sums of these and of their density gives the score.
 
-Defined results: null and empty texts get the score of a text without hits. Texts are read whole. Without labelled
-rows of both kinds there is nothing to learn: the lexicon is empty and all scores are the prior. Repeated rows get
-equal scores. Labels, languages, sources and keys never enter a score.
+Defined results: null and empty texts get the score of a text without hits. Texts are read whole, with work in
+proportion to their length. Without labelled rows of both kinds (so also with empty tables) there is nothing to learn:
+the lexicon is empty and all scores are the prior. Repeated rows get equal scores. Labels, languages, sources and keys
+never enter a score, and other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from pyspark.sql.functions import arrow_udf
 
 from weftcorpus.llm.shared import written
 
-#: At most so many labelled rows of each kind are learned from, and so many words make the lexicon.
-MAX_ROWS, MAX_WORDS = 4_000, 2_000
+#: At most so many labelled rows of each kind are learned from.
+MAX_ROWS = 4_000
 WINDOW = 8
 #: A stem is marked by this at its end: at least one more character follows it.
 TAIL = "*"
-STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
-TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›!?]")
+#: Letters of the shortest stem.
+LEAST_STEM = 4
+TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›!?]|\n\s*\n")
 OPENING, CLOSING, PLAIN = set("“„«‹"), set("”»›"), '"'
 #: Words that report or mention, and second persons, in English, French, German and Spanish.
 REPORT = set("said says wrote writes called calls quote quoted quotes word term phrase reported allegedly dit disait écrit mot terme cite sagte sagt schrieb wort begriff zitat dijo dice escribió palabra término cita".split())
@@ -161,12 +163,12 @@ class Scorer:
         if not hits:
             return [0.0] * 5, 0, 0
         places = np.array([i for i, _ in hits])
+        beside = np.searchsorted(places, places + WINDOW, "right") - np.searchsorted(places, places - WINDOW) - 1
         quoted_at = self.quoted(tokens)
         abuse = largest = quoted = inexact = 0.0
-        for i, (word, edits) in hits:
+        for (i, (word, edits)), near in zip(hits, beside.tolist(), strict=True):
             around = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
             for_quote = 1.5 * quoted_at[i] + 0.75 * sum(t in REPORT for t in around)
-            near = int(((places >= i - WINDOW) & (places <= i + WINDOW)).sum()) - 1
             for_abuse = 0.5 + 0.5 * sum(t in SECOND for t in around) + 0.5 * near + 0.25 * sum(t == "!" for t in around)
             weight = self.model.lexicon[word] * (1.0 if not edits else 0.35**edits)
             share = 1 / (1 + math.exp(for_quote - for_abuse))
@@ -179,15 +181,19 @@ class Scorer:
 
     @staticmethod
     def quoted(tokens: list[str]) -> list[bool]:
-        """Which tokens stand between quotation marks; a mark that is never closed encloses nothing."""
+        """Which tokens stand between quotation marks, however far apart; a mark that is never closed encloses nothing.
+
+        Of the plain mark, which opens and closes, one that is still open at the end of its paragraph is dropped.
+        """
         out = [False] * len(tokens)
         opened = None
         for i, t in enumerate(tokens):
             if t in OPENING or t == PLAIN and opened is None:
                 opened = i
             elif (t in CLOSING or t == PLAIN) and opened is not None:
-                if i - opened <= 60:
-                    out[opened:i] = [True] * (i - opened)
+                out[opened:i] = [True] * (i - opened)
+                opened = None
+            elif t[0] == "\n" and opened is not None and tokens[opened] == PLAIN:
                 opened = None
         return out
 
@@ -223,20 +229,21 @@ def distinct_texts(rows: DataFrame, key: str) -> DataFrame:
     return signed.where("__r0 = 1 and __r1 = 1 and __r2 = 1").select(*rows.columns)
 
 
-def learn_lexicon(rows: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words and stems by log-odds, where a likelihood ratio test, corrected for their number, rules out chance.
 
-    A word counts in the texts that have it, a stem in those that have it with two endings or more. A stem is left
-    out where a word or stem that says more begins with it, or it with that.
+    A word counts in the texts that have it, a stem in those that have it with two endings or more. Every word that
+    passes is taken, so that its misspellings are found; a stem is left out where a stronger one begins with it, or it
+    with that.
     """
     counts = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     bad, good = counts.get(1, 0), counts.get(0, 0)
     if not bad or not good:
         return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("__text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    each = rows.withColumn("__d", F.xxhash64("__text")).select("__y", "__d", F.explode(tokens).alias("w")).where("length(w) between 3 and 40")
+    each = rows.withColumn("__d", F.xxhash64("__text")).select("__y", "__d", F.explode(tokens).alias("w"))
     words = each.select("__y", "w")
-    stems = each.select("__y", "__d", "w", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("n")).where("length(w) > n")
+    stems = each.where(F.length("w") > LEAST_STEM).select("__y", "__d", "w", F.explode(F.sequence(F.lit(LEAST_STEM), F.length("w") - 1)).alias("n"))
     stems = stems.groupBy("__y", "__d", F.concat(F.substring("w", F.lit(1), F.col("n")), F.lit(TAIL)).alias("w")).count().where("count >= 2").select("__y", "w")
     found = words.unionByName(stems).groupBy("w").agg(F.sum("__y").cast("double").alias("a"), F.sum(1 - F.col("__y")).cast("double").alias("b"))
     found = found.where("a >= 3")
@@ -250,15 +257,16 @@ def learn_lexicon(rows: DataFrame, max_words: int = MAX_WORDS) -> dict[str, floa
     found = found.withColumn("odds", odds).withColumn("ratio", ratio)
     total = found.count()
     strong = found.where((F.col("odds") > 1.5) & (F.col("ratio") > 2 * math.log(max(total, 2) / 0.05)))
-    # bounded: max_words rows
-    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("w")), "w").limit(max_words).collect()
+    # bounded: words of the sample that pass the test
+    best = strong.orderBy(F.desc("ratio"), F.desc(F.length("w")), "w").collect()
     lexicon: dict[str, float] = {}
-    taken: set[str] = set()
+    taken: list[str] = []
     for r in best:
         bare = r["w"].rstrip(TAIL)
-        if any(t.startswith(bare) or bare.startswith(t) for t in taken):
-            continue
-        taken.add(bare)
+        if r["w"].endswith(TAIL):
+            if any(t.startswith(bare) or bare.startswith(t) for t in taken):
+                continue
+            taken.append(bare)
         lexicon[r["w"]] = float(r["odds"])
     return lexicon
 
@@ -279,10 +287,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.001, rounds: int = 4
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """A model of a sample of the labelled rows that are not held out: at most max_rows of each kind."""
     rows = written(distinct_texts(written(sample(documents, labels, key, text, label, max_rows)), key))
-    model = Model(learn_lexicon(rows, max_words))
+    model = Model(learn_lexicon(rows))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
