@@ -98,13 +98,13 @@ def heavy_levels(docs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.nd
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table, total = WordHashes(), np.zeros(slots, np.int64), 0
+        hashes, table, total = WordHashes(), np.zeros(slots, np.int32), 0
         for batch in batches:
             for found in shingle_hashes(raw_texts(batch.column(0)), hashes):
                 total += len(found)
                 np.add.at(table, (found & np.uint64(slots - 1)).astype(np.int64), 1)
         at = np.flatnonzero(table > 1.5 * total / slots + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype(np.int64))], ["slot", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["slot", "n"])
 
     found = written(docs.select("__text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
@@ -197,7 +197,7 @@ def described(docs: DataFrame, levels: np.ndarray, salts: np.ndarray) -> DataFra
                     fine.append(None)
                     keys.append(None)
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(own)
                 fine.append(fine_counts(found).tobytes())
@@ -317,7 +317,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             # an id that occurs with several texts gives several sets; only that of the class counts, and once
             use = [i for i, (c, o) in enumerate(zip(batch.column(0).to_pylist(), own, strict=True)) if c == o and o not in seen]
             use = list({own[i]: i for i in use}.values())
-            seen |= {own[i] for i in use} if len(seen) < 500_000 else set()
+            seen |= {own[i] for i in use} if len(seen) < 200_000 else set()
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in use], pa.int64()), pa.array([found[i].tobytes() for i in use], pa.binary())], ["class", "shingles"])
 
     texts = docs.join(wanted, "__id").select("class", "__text")

@@ -29,7 +29,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered per worker process up to ``limit`` words."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
