@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from weftcorpus.llm.components import components
 from weftcorpus.llm.shared import Rolling, WordHashes, drop, mixed, partitions, text_bytes, written
 
-SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 6
+SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 3
 #: Similar sets: DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 SLOTS, HEAVY, LEAST = 1 << 22, 2.5, 48
@@ -598,6 +598,7 @@ def stars(members: DataFrame, turns: int = ROUNDS) -> DataFrame:
     ranks = [F.col("degree") / F.col("n"), F.col("degree").cast("double")] + [F.xxhash64(F.lit(i), "class").cast("double") for i in range(2, turns)]
     first = [F.max(F.struct(rank.alias("r"), "class", "n")).alias(f"l{i}") for i, rank in enumerate(ranks)]
     leads = placed.groupBy("key").agg(*first)
+    leads = written(leads)
     leads = leads.select("key", F.array(*[F.struct(F.lit(i).alias("turn"), F.col(f"l{i}.class").alias("lead"), F.col(f"l{i}.n").alias("size")) for i in range(turns)]).alias("leads"))
     led = members.join(leads, "key").select("class", "n", F.explode("leads").alias("x")).where((F.col("class") != F.col("x.lead")) & (NUM * F.col("n") <= DEN * F.col("x.size")) & (NUM * F.col("x.size") <= DEN * F.col("n")))
     counts = led.groupBy("class", "x.turn", "x.lead").agg(F.count("*").alias("c")).groupBy("class", "turn").agg(F.max(F.struct("c", "lead")).alias("best"))

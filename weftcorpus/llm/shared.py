@@ -100,6 +100,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_cleaned = [0.0]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -109,12 +110,12 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weft-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    began = time.monotonic()
     df.write.parquet(path)
     _written.append((spark, path))
-    if time.monotonic() - began > 2:
+    if time.monotonic() - _cleaned[0] > 4:
         gc.collect()
-        spark.sparkContext._jvm.System.gc()  # the cleaner then removes shuffle files of plans that nothing holds any more
+        spark.sparkContext._jvm.System.gc()  # the cleaner then removes shuffle files and broadcasts of plans that nothing holds any more
+        _cleaned[0] = time.monotonic()
     table = spark.read.schema(df.schema).parquet(path)
     table._weft_path = path
     return table
