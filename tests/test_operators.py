@@ -89,16 +89,16 @@ def test_accounting_parts_sum_to_the_whole(spark):
 
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, list("abcdefgh"), list("abcdefgh"))], "k int, h array<string>, r array<string>")
-    assert abs(metrics.bleu(rows, "k", "h", "r").first()["bleu"] - 100) < 1e-9
+    assert abs(metrics.bleu(rows, "h", "r").first()["bleu"] - 100) < 1e-9
     assert metrics.rouge_l(rows, "h", "r").first()["rouge_l"] == 100
     apart = spark.createDataFrame([(1, list("abcd"), list("wxyz"))], "k int, h array<string>, r array<string>")
-    assert metrics.bleu(apart, "k", "h", "r").first()["bleu"] == 0
+    assert metrics.bleu(apart, "h", "r").first()["bleu"] == 0
     lcs = spark.createDataFrame([(list("abcde"), list("ace")), ([], ["a"])], "a array<string>, b array<string>").select(metrics.lcs(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in lcs] == [3, 0]
     loop = metrics.diversity(spark.createDataFrame([(["a", "b"] * 50,)], "t array<string>"), "t").first()
     assert loop["distinct_1"] < 0.05 and loop["repetition_4"] > 0.9
     text = spark.createDataFrame([(1, "ab cd ef", "ab cd ef")], "k int, h string, r string")
-    assert abs(metrics.chrf(text, "k", "h", "r").first()["chrf"] - 100) < 1e-9
+    assert abs(metrics.chrf(text, "h", "r").first()["chrf"] - 100) < 1e-9
 
 
 def test_rouge_l_reads_whole_texts(spark, tmp_path):

@@ -5,6 +5,8 @@ White space is Unicode's, as Python's str.split() has it; Java's ``\\s`` would m
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -126,14 +128,14 @@ def norm_title(c: Column) -> Column:
 
 
 # --------------------------------------------------------------------------------------------------- extraction
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&amp;": "&"}
+def _unescaped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([t if t is None or "&" not in t else html.unescape(t) for t in batch.to_pylist()], pa.string())
 
 
 def unescape(c: Column) -> Column:
-    """The entities that pages use; ``&amp;`` last, so that nothing is decoded twice."""
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All entities of HTML, named and numbered, decoded once."""
+    return arrow_udf(_unescaped, "string")(c)
 
 
 def keep_block(c: Column, script: str = DEVANAGARI_WORD[:-1], min_share: float = 0.45, min_words: int = 6) -> Column:
@@ -144,15 +146,44 @@ def keep_block(c: Column, script: str = DEVANAGARI_WORD[:-1], min_share: float =
     return F.when((F.size(words(text)) >= min_words) & (of_script > 0) & (of_script >= shown * min_share), text)
 
 
-def article_text(html: Column, script: str = DEVANAGARI_WORD[:-1], min_share: float = 0.45) -> Column:
+class Articles:
+    """Article texts of pages, a page at a time: each paragraph is unescaped and stripped once."""
+
+    def __init__(self, script: str, min_share: float):
+        self.script, self.min_share = re.compile(script), min_share
+        self.blocks, self.paragraph, self.tag, self.space = re.compile(BLOCK_TAGS), re.compile(PARAGRAPH), re.compile("<[^>]+>"), re.compile(f"{WS}+")
+        self.byline = [(re.compile(p), to) for p, to in ((ISO_STAMP, " "), (UPDATED, " "), (BYLINE.replace("(?iU)", "(?i)"), ""))]
+        self.dash, self.edge = re.compile(LEAD_DASH), re.compile(f"^{WS}+|{WS}+$")
+
+    def stripped(self, t: str) -> str:
+        for pattern, to in self.byline:
+            t = pattern.sub(to, t)
+        return self.edge.sub("", self.dash.sub("", self.edge.sub("", self.space.sub(" ", t))))
+
+    def kept(self, t: str, min_words: int) -> str | None:
+        t = self.stripped(t)
+        found = len(self.script.findall(t))
+        good = found and found >= len(self.space.sub("", t)) * self.min_share and len([w for w in self.space.split(t) if w]) >= min_words
+        return t if good else None
+
+    def article(self, page: str | None) -> str:
+        cleaned = self.blocks.sub(" ", page or "")
+        found = [self.kept(html.unescape(self.tag.sub(" ", p)), 6) for p in self.paragraph.findall(cleaned)]
+        if not any(found):
+            lines = html.unescape(self.tag.sub("\n", cleaned)).split("\n")
+            found = [self.kept(x, 12) for x in lines if len(self.edge.sub("", x)) >= 40]
+        return "\n\n".join(x for x in found if x)
+
+
+def article_text(page: Column, script: str = DEVANAGARI_WORD[:-1], min_share: float = 0.45) -> Column:
     """Paragraphs of a page that read like prose; where it has none, lines between tags that do."""
-    cleaned = F.regexp_replace(F.coalesce(html, F.lit("")), BLOCK_TAGS, " ")
-    inside = F.regexp_extract_all(cleaned, F.lit(PARAGRAPH), F.lit(1))
-    kept = F.filter(F.transform(inside, lambda p: keep_block(unescape(F.regexp_replace(p, "<[^>]+>", " ")), script, min_share)), lambda p: p.isNotNull())
-    lines = F.split(unescape(F.regexp_replace(cleaned, "<[^>]+>", "\n")), "\n")
-    long = F.filter(lines, lambda x: F.length(trim_ws(x)) >= 40)
-    other = F.filter(F.transform(long, lambda x: keep_block(x, script, min_share, 12)), lambda p: p.isNotNull())
-    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(other), "\n\n")
+
+    def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        articles = Articles(script, min_share)
+        for batch in batches:
+            yield pa.array([articles.article(t) for t in batch.to_pylist()], pa.string())
+
+    return arrow_udf(extract, "string")(page)
 
 
 def clean_wikitext(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftcorpus.operators.accounts import median_of
+
 # Seconds, shares and gigabytes beyond which a job is in trouble.
 STALE_SECONDS, ERROR_SHARE, LOW_DISK_GB, RATE_LIMIT_SHARE, DUPLICATE_SHARE = 900, 0.10, 5.0, 0.05, 0.50
 
@@ -34,8 +36,7 @@ def text_layer(http: Column, parsed: Column, files: Column) -> Column:
 def extrapolated(probes: DataFrame, population: int, words: str = "n_words", accepted: str = "accepted") -> DataFrame:
     """Share accepted, mean and upper median of accepted words, and what they make over a population."""
     ok = probes.where(F.col(accepted))
-    n = Window.partitionBy(F.lit(0))
-    middle = ok.withColumn("k", F.row_number().over(n.orderBy(words))).withColumn("c", F.count("*").over(n)).where("k = floor(c / 2) + 1").agg(F.max(words).alias("median_words"))
+    middle = median_of(ok.groupBy(words).agg(F.count("*").alias("n")), words).select(F.col("median").alias("median_words"))
     sums = probes.agg(F.count("*").alias("probes"), F.count_if(accepted).alias("accepted"), F.avg(F.when(F.col(accepted), F.col(words))).alias("mean"))
     share = F.col("accepted") / F.col("probes")
     both = sums.join(F.broadcast(middle))

@@ -24,7 +24,7 @@ def reassembled(df: DataFrame, file: str, pos: str, text: str, marker: str = MAR
     is_marker = F.startswith(trimmed, F.lit(marker))
     order = Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     part = F.sum(is_marker.cast("int")).over(order)
-    title = F.last(F.when(is_marker, F.trim(F.substring(trimmed, len(marker) + 1, 1 << 20))), ignorenulls=True).over(order)
+    title = F.last(F.when(is_marker, F.trim(F.substring(trimmed, F.lit(len(marker) + 1), F.length(trimmed)))), ignorenulls=True).over(order)
     rows = df.withColumn("part", part).withColumn("title", F.coalesce(title, F.lit("unknown"))).withColumn("__m", is_marker).where(~F.col("__m") & (trimmed != ""))
     found = rows.groupBy(file, "part", "title").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("x"))
     return found.select(file, "part", "title", F.array_join(F.col("x.t"), "\n").alias("text"), F.size("x").alias("rows"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftcorpus.plans import corpus, dedup, jobs, texts, tokens
+from weftcorpus.plans import accounts, corpus, dedup, jobs, overlap, streams, texts, tokens, training, web
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [corpus, dedup, texts, tokens, jobs]
+MODULES = [corpus, dedup, texts, tokens, jobs, overlap, web, accounts, training, streams]
 
 
 def queries() -> dict[str, Query]:

@@ -225,13 +225,26 @@ def unit_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.units(lines.withColumn("line", F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("line"))), "doc_id", "pos", "line")
 
 
-@add()
+SEGMENTED = f"""WITH RECURSIVE ls AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+o AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''))::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM ls WHERE trim(line) <> ''),
+f AS (SELECT doc_id, line, n, r, 0 AS segment, n AS running FROM o WHERE r = 1
+  UNION ALL SELECT o.doc_id, o.line, o.n, o.r, CASE WHEN f.running > 0 AND f.running + o.n > 1200 THEN f.segment + 1 ELSE f.segment END, CASE WHEN f.running > 0 AND f.running + o.n > 1200 THEN o.n ELSE f.running + o.n END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1)
+SELECT doc_id, segment::INT AS segment, string_agg(line, chr(10) ORDER BY r) AS text, sum(n)::BIGINT AS n_words FROM f GROUP BY doc_id, segment"""
+
+
+@add(SEGMENTED)
 def segment_1200(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.segments(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("segment", "text"))
     return found.withColumn("n_words", text.n_words(F.col("text")))
 
 
-@add()
+PACKED = f"""WITH RECURSIVE x AS (SELECT source, doc_id, text, len({W})::BIGINT AS n FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM x WHERE n > 0),
+f AS (SELECT source, doc_id, text, n, r, 0::BIGINT AS pack, n AS running FROM o WHERE r = 1
+  UNION ALL SELECT o.source, o.doc_id, o.text, o.n, o.r, CASE WHEN f.running >= 300 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.running >= 300 THEN o.n ELSE f.running + o.n END FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1)
+SELECT source, pack, string_agg(text, ' ' ORDER BY r) AS text, sum(n)::BIGINT AS n_words, count(*)::BIGINT AS units FROM f GROUP BY source, pack"""
+
+
+@add(PACKED)
 def pack_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.packed(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
@@ -251,11 +264,11 @@ def schema_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("col", share.alias("ratio")).groupBy("col").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"), (F.avg("ratio") >= 0.9).alias("kept"))
 
 
-@add("""WITH f AS (SELECT doc_id, [source, lang, left(text, 40)] AS a FROM documents), r AS (SELECT doc_id, unnest(a) AS field, generate_subscripts(a, 1) AS pos FROM f),
+@add("""WITH f AS (SELECT doc_id, [source, lang, text] AS a FROM documents), r AS (SELECT doc_id, unnest(a) AS field, generate_subscripts(a, 1) AS pos FROM f),
 s AS (SELECT doc_id, field, pos, length(regexp_replace(field, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(field, '\\s', '', 'g')), 0) AS ratio FROM r)
-SELECT doc_id, arg_max(field, struct_pack(a := ratio, b := -pos)) AS best FROM s GROUP BY doc_id""")
+SELECT doc_id, arg_max(field, struct_pack(a := coalesce(ratio, -1), b := -pos)) AS best FROM s GROUP BY doc_id""")
 def best_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of tab-separated fields the one with the largest share of Latin letters; the first of equals."""
-    line = table(spark, sf_dir, "documents").select("doc_id", F.split(F.concat_ws("\t", "source", "lang", F.translate(F.substring("text", 1, 40), "\t", " ")), "\t").alias("f"))
-    scored = F.transform("f", lambda x, i: F.struct(F.try_divide(F.regexp_count(x, F.lit("[A-Za-z]")).cast("double"), F.length(F.regexp_replace(x, r"\s", ""))).alias("r"), (-i).alias("i"), x.alias("x")))
+    line = table(spark, sf_dir, "documents").select("doc_id", F.split(F.concat_ws("\t", "source", "lang", F.translate("text", "\t", " ")), "\t").alias("f"))
+    scored = F.transform("f", lambda x, i: F.struct(F.coalesce(F.try_divide(F.regexp_count(x, F.lit("[A-Za-z]")).cast("double"), F.length(F.regexp_replace(x, r"\s", ""))), F.lit(-1.0)).alias("r"), (-i).alias("i"), x.alias("x")))
     return line.select("doc_id", F.array_max(scored)["x"].alias("best"))

@@ -132,12 +132,13 @@ def byte_piece_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------------ metrics
-PAIR = f"x AS (SELECT doc_id, {W} AS w FROM documents), p AS (SELECT doc_id, w[1:30] AS h, w[6:35] AS r FROM x WHERE len(w) >= 40)"
+PAIR = f"x AS (SELECT doc_id, {W} AS w FROM documents), p AS (SELECT doc_id, w[1:greatest(len(w) - 5, 0)] AS h, w[6:] AS r FROM x)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words 1 to 30 as if generated, 6 to 35 as their reference."""
-    return documents(spark, sf_dir).where("n_words >= 40").select("doc_id", F.slice("w", 1, 30).alias("h"), F.slice("w", 6, 30).alias("r"))
+    """Of whole texts: all words but the last five as if generated, all but the first five as their reference."""
+    n = F.greatest(F.size("w") - 5, F.lit(0))
+    return documents(spark, sf_dir).select("doc_id", F.slice("w", F.lit(1), n).alias("h"), F.slice("w", F.lit(6), n).alias("r"))
 
 
 def gram_sql(n: int) -> str:
@@ -147,28 +148,18 @@ LEFT JOIN (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(list_tran
 
 @add(f"WITH {PAIR}, g AS ({' UNION ALL '.join(gram_sql(n) for n in range(1, 5))}) SELECT round(100 * CASE WHEN min(m) > 0 THEN exp(avg(ln(m / t))) ELSE 0 END, 6) AS bleu, 1.0::DOUBLE AS brevity_penalty, (SELECT sum(len(h)) FROM p)::BIGINT AS hyp_len, (SELECT sum(len(r)) FROM p)::BIGINT AS ref_len FROM g")
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bleu(pairs(spark, sf_dir), "doc_id", "h", "r").withColumn("bleu", F.round("bleu", 6))
-
-
-CHARS = f"{PAIR}, q AS (SELECT doc_id, string_split(replace(array_to_string(h[1:10], ' '), ' ', ''), '') AS h, string_split(replace(array_to_string(r[1:10], ' '), ' ', ''), '') AS r FROM p)"
-
+    return metrics.bleu(pairs(spark, sf_dir), "h", "r").withColumn("bleu", F.round("bleu", 6))
 
-def chr_sql(n: int) -> str:
-    side = lambda c: f"SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i+{n - 1}], ''))) AS g FROM q) GROUP BY ALL"
-    return f"SELECT {n} AS n, sum(least(a.c, b.c)) FILTER (WHERE a.c IS NOT NULL AND b.c IS NOT NULL) AS m, sum(a.c) AS h, sum(b.c) AS r FROM ({side('h')}) a FULL JOIN ({side('r')}) b USING (doc_id, g)"
 
-
-@add(f"WITH {CHARS}, g AS ({' UNION ALL '.join(chr_sql(n) for n in range(1, 7))}), s AS (SELECT sum(m / h) / 6 AS p, sum(m / r) / 6 AS r FROM g) SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf, round(100 * p, 6) AS precision, round(100 * r, 6) AS recall FROM s")
+@add()
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = pairs(spark, sf_dir).select("doc_id", F.array_join(F.slice("h", 1, 10), " ").alias("h"), F.array_join(F.slice("r", 1, 10), " ").alias("r"))
-    return metrics.chrf(texts, "doc_id", "h", "r").select(F.round("chrf", 6).alias("chrf"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    texts = pairs(spark, sf_dir).select(F.array_join("h", " ").alias("h"), F.array_join("r", " ").alias("r"))
+    return metrics.chrf(texts, "h", "r").select(F.round("chrf", 6).alias("chrf"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @add()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole texts: all words but the last five as if generated, all but the first five as their reference."""
-    n = F.greatest(F.size("w") - 5, F.lit(0))
-    return metrics.rouge_l(documents(spark, sf_dir).select(F.slice("w", F.lit(1), n).alias("h"), F.slice("w", F.lit(6), n).alias("r")), "h", "r")
+    return metrics.rouge_l(pairs(spark, sf_dir), "h", "r")
 
 
 @add(f"""WITH x AS (SELECT {W} AS w FROM documents), u AS (SELECT g, count(*) AS c FROM (SELECT unnest(w) AS g FROM x) GROUP BY g), b AS (SELECT g, count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) AS g FROM x) GROUP BY g),
