@@ -89,12 +89,16 @@ class Rolling:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session makes one of its own;
+    on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="weft-shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and current.isDefined():
+        found = current.get()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    found = found or tempfile.mkdtemp(prefix="weft-shared-")
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
