@@ -7,9 +7,36 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK = 20_000
+#: Words of a window of whole items, and the share of an item's windows in one document that makes a hit.
+WINDOW_WORDS, HIT_SHARE = 8, 0.5
+
+
+def word_windows(df: DataFrame, key: str, canon: str, n: int = WINDOW_WORDS) -> DataFrame:
+    """key, window: the distinct n-word windows of a text, hashed to 64 bits; a shorter text is one window."""
+    parts = df.select(key, F.filter(F.split(F.coalesce(canon, F.lit("")), " "), lambda x: x != "").alias("w")).where("size(w) > 0")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n)))
+    return parts.select(key, F.explode(F.array_distinct(grams)).alias("window"))
+
+
+def items_in(docs: DataFrame, items: DataFrame, n: int = WINDOW_WORDS, share: float = HIT_SHARE) -> DataFrame:
+    """item_id, windows, found, documents, first_id of items (item_id, canon): how many of all their windows stand in any
+    document of docs (doc_id, canon), and which documents hold at least a share of them.
+
+    Whole items and whole documents are compared. Windows meet by a join on their hashes; of the documents only those
+    that an item has travel on, so where items are few enough to be broadcast the documents' windows never move.
+    """
+    wanted = word_windows(items, "item_id", "canon", n)
+    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("windows"))
+    hits = word_windows(docs, "doc_id", "canon", n).join(wanted, "window")
+    found = hits.groupBy("item_id", "window").agg(F.count("*").alias("c")).groupBy("item_id").agg(F.count("*").alias("found"))
+    by_document = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("c")).join(sizes, "item_id").where(F.col("c") >= F.col("windows") * F.lit(share))
+    documents = by_document.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return items.select("item_id").join(sizes, "item_id", "left").join(found, "item_id", "left").join(documents, "item_id", "left").select("item_id", zero("windows"), zero("found"), zero("documents"), "first_id")
 
 
 def heads_in(docs: DataFrame, items: DataFrame) -> DataFrame:

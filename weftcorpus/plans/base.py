@@ -30,8 +30,19 @@ class Register:
         return put
 
 
+#: From so many bytes on, a table whose files give fewer tasks than there are cores is dealt out among them.
+WORTH_DEALING = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that is a single row group, which a scan can't split, is dealt out to all cores before the work on it."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    told = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
+    small = WORTH_DEALING <= told.getLength() < 32 * WORTH_DEALING * cores
+    return df.repartition(cores) if small and told.getFileCount() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

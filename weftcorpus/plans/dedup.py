@@ -230,3 +230,16 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = contamination.heads_in(docs, items)
     found = hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_id")
+
+
+WINDOWS = "list_distinct(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i:i+7], ' ')))"
+
+
+@add(f"""WITH b AS (SELECT item_id, list_filter(string_split({CANON}, ' '), lambda x: x <> '') AS w FROM benchmark), c AS (SELECT doc_id, list_filter(string_split({CANON}, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, unnest({WINDOWS}) AS g FROM b WHERE len(w) > 0), n AS (SELECT item_id, count(*) AS windows FROM i GROUP BY item_id), d AS (SELECT doc_id, unnest({WINDOWS}) AS g FROM c WHERE len(w) > 0), h AS (SELECT item_id, doc_id, g FROM d JOIN i USING (g)),
+f AS (SELECT item_id, count(DISTINCT g) AS found FROM h GROUP BY item_id), k AS (SELECT item_id, doc_id, count(*) AS c FROM h GROUP BY ALL), t AS (SELECT item_id, count(*) AS documents, min(doc_id) AS first_id FROM k JOIN n USING (item_id) WHERE c >= windows * 0.5 GROUP BY item_id)
+SELECT item_id, coalesce(windows, 0)::BIGINT AS windows, coalesce(found, 0)::BIGINT AS found, coalesce(documents, 0)::BIGINT AS documents, first_id FROM benchmark LEFT JOIN n USING (item_id) LEFT JOIN f USING (item_id) LEFT JOIN t USING (item_id)""")
+def benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark items: how many of their eight-word windows the corpus has, and the documents with half of them."""
+    canon = lambda name, key: table(spark, sf_dir, name).select(key, canonical_form(F.col("text")).alias("canon"))
+    return contamination.items_in(canon("documents", "doc_id"), canon("benchmark", "item_id"))

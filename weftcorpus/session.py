@@ -26,10 +26,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one that the cluster names; one of our own where it names none."""
+    """The folder that all executors share: the one that the cluster names. Where it names none, a local session makes
+    one of its own; on a cluster that is an error, as executors would not see it."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
 
