@@ -204,6 +204,16 @@ def near_anti_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return downloaded.join(found.select("id").distinct(), "id", "left_anti").select(F.col("id").alias("doc_id"))
 
 
+@add()
+def near_removed_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each downloaded source, the documents before, and those that are like a manual one."""
+    s = signed(spark, sf_dir)
+    downloaded = s.where("ord.downloaded")
+    found = near.matches(downloaded, s.where("not ord.downloaded"), near.THRESHOLD).select("id").distinct().withColumn("near", F.lit(True))
+    marked = downloaded.select("id", F.col("ord.source").alias("source")).join(found, "id", "left")
+    return marked.groupBy("source").agg(F.count("*").alias("before"), F.count_if("near").alias("removed"))
+
+
 @add()
 def cross_corpus_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one half of the sources that are like one of the other half, with their best score."""

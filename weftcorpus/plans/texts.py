@@ -249,6 +249,22 @@ def pack_300(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.packed(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
+@add(f"""WITH RECURSIVE ls AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM (SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''))::BIGINT AS n FROM ls) WHERE n > 0),
+f AS (SELECT doc_id, n, r, 0::BIGINT AS pack, n AS running FROM o WHERE r = 1 UNION ALL SELECT o.doc_id, o.n, o.r, CASE WHEN f.running >= 60 THEN f.pack + 1 ELSE f.pack END, CASE WHEN f.running >= 60 THEN o.n ELSE f.running + o.n END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1)
+SELECT doc_id, pack, sum(n)::BIGINT AS n_words, count(*)::BIGINT AS units FROM f GROUP BY doc_id, pack""")
+def packs_within_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed to 60 words within their document, as within a shard: the tail of each comes out too."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    return segment.packed(lines, "doc_id", "pos", "line", 60).select("doc_id", "pack", "n_words", "units")
+
+
+@add(f"WITH x AS (SELECT source, doc_id, len({W})::BIGINT AS n FROM documents) SELECT source, arg_max(doc_id, struct_pack(a := n, b := -doc_id)) AS doc_id, max(n) AS n_words FROM x GROUP BY source")
+def best_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest document of each source, the first of equally long ones."""
+    return documents(spark, sf_dir).groupBy("source").agg(F.max_by("doc_id", F.struct("n_words", (-F.col("doc_id")).alias("i"))).alias("doc_id"), F.max("n_words").alias("n_words"))
+
+
 @add("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text, count(*)::BIGINT AS turns FROM conversations GROUP BY conv_id) SELECT * FROM c""")
 def conversation_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t"))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftcorpus.operators import batches, bpe, tokens
+from weftcorpus.operators import batches, bpe, metrics, tokens
 from weftcorpus.plans.base import D, W, Register, documents, table
 
 REGISTER = Register()
@@ -133,3 +135,27 @@ def model_size_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of a model's parameters add up to the figure that is known."""
     parts = tokens.parameters(512, 7, 2048, 2_500, 512, tied=False)
     return spark.createDataFrame([("total", parts["total"], sum(v for k, v in parts.items() if k != "total") == parts["total"])], "component string, parameters long, agrees boolean")
+
+
+@add(f"WITH x AS (SELECT lang, list_slice({W}, 1, 40) AS w FROM documents) SELECT lang, sum(len(w))::BIGINT AS words, round(sum(len(list_filter(w, lambda x: length(x) <= 4))) / sum(len(w)), 6) AS whole_word_rate FROM x GROUP BY lang")
+def whole_word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first forty words of each document, how many are one piece, with pieces of four characters."""
+    head = documents(spark, sf_dir).select("lang", F.slice("w", 1, 40).alias("w"))
+    whole = F.size(F.filter("w", lambda x: F.length(x) <= 4))
+    return head.groupBy("lang").agg(F.sum(F.size("w")).alias("words"), F.round(F.sum(whole) / F.sum(F.size("w")), 6).alias("whole_word_rate"))
+
+
+SETTINGS = (0, 1, 2)
+
+
+def setting_sql(k: int) -> str:
+    gram = lambda n: f"SELECT {n} AS n, sum(least(a.c, b.c)) AS m, (SELECT sum(greatest(16 - {k} - {n} + 1, 0)) FROM u) AS t FROM (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, len(h) - {n} + 2), lambda i: array_to_string(h[i:i+{n - 1}], ' '))) AS g FROM u) GROUP BY ALL) a JOIN (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, len(r) - {n} + 2), lambda i: array_to_string(r[i:i+{n - 1}], ' '))) AS g FROM u) GROUP BY ALL) b USING (id, g)"
+    return f"""SELECT {k} AS setting, round(100 * exp(1 - 16 / (16 - {k})) * exp(avg(ln(m / t))), 6) AS bleu FROM (WITH x AS (SELECT doc_id AS id, {W} AS w FROM documents), u AS (SELECT id, w[9+{k}:24] AS h, w[9:24] AS r FROM x WHERE len(w) >= 24) {' UNION ALL '.join(gram(n) for n in range(1, 5))})"""
+
+
+@add(" UNION ALL ".join(setting_sql(k) for k in SETTINGS))
+def continuation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of continuations by decoding setting; a setting here leaves out so many of the first words."""
+    found = documents(spark, sf_dir).where("n_words >= 24").select(F.explode(batches.continuations(F.col("w"), F.array(F.lit(0)), 8, 16)).alias("c"))
+    each = [metrics.bleu(found.select(F.slice("c.reference", k + 1, 16).alias("h"), F.col("c.reference").alias("r")), "h", "r").select(F.lit(k).alias("setting"), F.round("bleu", 6).alias("bleu")) for k in SETTINGS]
+    return reduce(DataFrame.unionByName, each)
