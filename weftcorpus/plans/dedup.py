@@ -37,7 +37,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"WITH {HASHED}, r AS (SELECT *, row_number() OVER (PARTITION BY hash {ORDER}) AS k FROM h) SELECT doc_id, source, hash FROM r WHERE k = 1")
 def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).where("rank = 1").select("doc_id", "source", "hash")
+    """By an aggregate of narrow rows, which combines on each task."""
+    first = F.min(F.struct((~F.col("is_manual")).alias("downloaded"), "source", "doc_id")).alias("x")
+    return hashed(spark, sf_dir).groupBy("hash").agg(first).select("x.doc_id", "x.source", "hash")
 
 
 @add(f"WITH {HASHED} SELECT hash, count(*)::BIGINT AS documents, min(doc_id) AS first_id, count(DISTINCT source)::BIGINT AS sources FROM h GROUP BY hash HAVING count(*) > 1")
