@@ -289,3 +289,31 @@ def test_exact_jaccard_by_brute_force(spark):
     sets = {i: {c[k : k + 5] for k in range(max(1, len(c) - 4))} for i, t in docs if (c := " ".join(t.split()).lower())}
     want = {(a, b): x for a in sets for b in sets if a < b and (x := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.4}
     assert got == pytest.approx(want) and want
+
+
+def test_paged_source(spark, tmp_path):
+    from weftcorpus.sources.paged import paged
+
+    pages = {"": (["a", "b"], "x"), "x": (["c"], "y"), "y": ([], "z"), "z": (["d"], None)}
+    spark.dataSource.register(paged("weft_listing", lambda cursor: pages[cursor], per_batch=3))
+    want = [("", 0, "a"), ("", 1, "b"), ("x", 0, "c"), ("z", 0, "d")]
+    assert sorted(map(tuple, spark.read.format("weft_listing").load().collect())) == want
+    loop = {"": (["a"], "x"), "x": (["b"], "")}
+    spark.dataSource.register(paged("weft_loop", lambda cursor: loop[cursor]))
+    assert spark.read.format("weft_loop").load().count() == 2
+    at = str(tmp_path)
+    query = spark.readStream.format("weft_listing").load().writeStream.format("parquet").option("path", f"{at}/t").option("checkpointLocation", f"{at}/c").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(map(tuple, spark.read.parquet(f"{at}/t").select("cursor", "pos", "item").collect())) == want
+
+
+def test_sweeps_are_the_vocabularies_of_each_size():
+    rng = random.Random(9)
+    table = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(2, 7))): rng.randrange(2, 40) for _ in range(60)}.items(), key=lambda x: (-x[1], x[0]))
+    found = bpe.sweep(table, [100, 270, 280, 300, 9000])
+    assert set(found) == {270, 280, 300} and all(found[n] == bpe.learned(table, n) and len(found[n]) == n for n in found)
+    with pytest.raises(ValueError):
+        bpe.sweep(table, [100])

@@ -100,6 +100,21 @@ def learned(table: list[tuple[str, int]], vocabulary: int, share: float = CHARAC
     return [*SPECIAL, *BYTES, *joins, *characters]
 
 
+def sweep(table: list[tuple[str, int]], sizes: list[int], share: float = CHARACTERS) -> dict[int, list[str]]:
+    """Vocabularies of several sizes from one learning: a smaller one has the first joins of a larger one.
+
+    Sizes without room for the characters, or beyond the joins that there are, are left out; none left is an error.
+    """
+    characters = len(alphabet(table, share))
+    fixed = len(SPECIAL) + len(BYTES) + characters
+    feasible = [n for n in sizes if n >= fixed]
+    if not feasible:
+        raise ValueError("no vocabulary of these sizes can be learned")
+    most = learned(table, max(feasible), share)
+    joins = most[len(SPECIAL) + len(BYTES) : len(most) - characters]
+    return {n: [*SPECIAL, *BYTES, *joins[: n - fixed], *most[len(most) - characters :]] for n in feasible if n - fixed <= len(joins)}
+
+
 def scores(pieces: list[str]) -> dict[str, float]:
     """Pieces that joins make, with scores that fall in the order they were learned."""
     return {p: -float(i) for i, p in enumerate(pieces) if i >= len(SPECIAL) + len(BYTES) and len(p) > 1}

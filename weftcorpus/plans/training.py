@@ -56,6 +56,24 @@ def tokenizer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("vocabulary", F.lit(len(learned))).withColumn("byte_pieces", F.lit(sum(p.startswith("<0x") for p in learned)))
 
 
+@add()
+def vocabulary_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fertility of vocabularies of several sizes over all words, and which is the smallest within a fiftieth of the best.
+
+    A word counts as often as it occurs, and is encoded once.
+    """
+    table_ = bpe.word_table(documents(spark, sf_dir), "w")
+    words = spark.createDataFrame(table_, "word string, n long").select(F.array("word").alias("w"), "n")
+    rows = []
+    for size, pieces in sorted(bpe.sweep(table_, [200, 450, 550, 650, 750]).items()):
+        ids = {p: i for i, p in enumerate(pieces)}
+        found = words.select((F.size(tokens.encode(F.col("w"), ids, bpe.scores(pieces))) * F.col("n")).alias("k"), "n").agg(F.sum("k"), F.sum("n")).first()
+        rows.append((size, found[0] / found[1]))
+    sizes = spark.createDataFrame(rows, "vocabulary int, fertility double")
+    chosen = tokens.smallest_within(sizes, "vocabulary", "fertility").select("vocabulary", F.lit(True).alias("chosen"))
+    return sizes.join(chosen, "vocabulary", "left").select("vocabulary", "fertility", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 # ------------------------------------------------------------------------------------------------------- batches
 TAKEN = "(('0x' || substr(sha256('{seed}:' || {key}::VARCHAR), 1, 12))::BIGINT)"
 
