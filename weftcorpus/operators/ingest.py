@@ -22,12 +22,9 @@ def wiki_page_reason(gate: Gate, words: Column, profile: Column, label: Column,
     profile: struct of script_profile().
     """
     little = profile["devanagari_ratio"] < gate.min_ratio
-    other = F.when(~profile["script"].isin("Latin", "Kannada", "Mixed"), "script_not_recognised") if all_scripts else F.lit("not_devanagari_excluded")
-    c = F.when(words < gate.min_words, "too_short")
-    named = F.when(little, other).when((profile["script"] == "Devanagari") & (label == gate.reject), f"langid_{gate.reject}_rejected")
-    if all_scripts:
-        named = F.when(little & other.isNotNull(), other).when((profile["script"] == "Devanagari") & (label == gate.reject), f"langid_{gate.reject}_rejected")
-    return F.coalesce(c, named)
+    other = F.when(little & ~profile["script"].isin("Latin", "Kannada", "Mixed"), "script_not_recognised") if all_scripts else F.when(little, "not_devanagari_excluded")
+    rejected = F.when((profile["script"] == "Devanagari") & (label == gate.reject), f"langid_{gate.reject}_rejected")
+    return F.coalesce(F.when(words < gate.min_words, "too_short"), other, rejected)
 
 
 def decided(df: DataFrame, key: str, text: str, why: Column, order: list, prefix: str = "", threshold: float = near.THRESHOLD) -> DataFrame:
