@@ -558,7 +558,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def searched(members: DataFrame, links: DataFrame, docs: DataFrame, known: DataFrame, best: bool) -> DataFrame:
     """The links that R-trees over the blocks find between what links leave apart."""
-    labels = labelled(known.select("class"), components(links))
+    labels = labelled(known.select("class"), around(links))
     tiles, tables = tiled(members.join(labels, "class"))
     parts = partitions(docs.sparkSession, members.count(), 50_000)
     pairs = written(surviving(tiles.join(pointed(known), "class"), parts, best))
@@ -569,6 +569,19 @@ def searched(members: DataFrame, links: DataFrame, docs: DataFrame, known: DataF
     return out
 
 
+def around(links: DataFrame, hops: int = 2) -> DataFrame:
+    """node, component: the least node within so many links of each node of a link.
+
+    Nodes with one label are connected, though not all that are connected have one: enough to leave pairs out by, and in
+    a group around one centre the same as the whole components, for a few shuffles.
+    """
+    there = links.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x in "ab" for y in "ab"])).alias("e")).select("e.node", "e.other")
+    found = there.groupBy("node").agg(F.min("other").alias("component"))
+    for _ in range(hops - 1):
+        found = there.join(found.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("component"))
+    return found
+
+
 def pointed(known: DataFrame) -> DataFrame:
     """class, point."""
 
