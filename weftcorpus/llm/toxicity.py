@@ -56,8 +56,8 @@ class LexiconAutomaton:
     without reading). A node is alive as long as a word below it allows its edits.
     """
 
-    def __init__(self, words: list[str], limit: int = 100_000):
-        self.limit = limit
+    def __init__(self, words: list[str], limit: int = 200_000):
+        self.limit = limit  # live nodes of all states that are kept; beyond that the states are made anew
         self.edges: list[dict[str, int]] = [{}]
         self.word: list[str | None] = [None]
         self.allowed = [0]
@@ -82,6 +82,7 @@ class LexiconAutomaton:
         self.sets: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[str, int] | None] = []
+        self.size = 0
         self.start = self.state(self.closed({0: 0}))
 
     def closed(self, live: dict[int, int]) -> dict[int, int]:
@@ -101,6 +102,7 @@ class LexiconAutomaton:
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(live)
+            self.size += len(live)
             self.moves.append({})
             ends = [(cost, self.word[n]) for n, cost in live.items() if self.word[n] and cost <= edits_for(self.word[n])]
             self.ends.append((min(ends)[1], min(ends)[0]) if ends else None)
@@ -124,7 +126,7 @@ class LexiconAutomaton:
 
     def match(self, token: str) -> tuple[str, int] | None:
         """The word of the lexicon within reach that takes the fewest edits (of these the first in order), and how many."""
-        if len(self.sets) > self.limit:
+        if self.size > self.limit:
             self.reset()
         at, moves = self.start, self.moves
         for ch in token:
@@ -142,7 +144,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, memory: int = 300_000):
+    def __init__(self, model: Model, memory: int = 200_000):
         self.model, self.memory = model, memory
         self.automaton = LexiconAutomaton(list(model.lexicon))
         self.seen: dict[str, tuple[str, int] | None] = {}
