@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,6 +310,30 @@ def test_topics_cut_across_languages(spark):
     assert sum(best.values()) > 0.95 * len(rows)
 
 
+def test_topics_are_learned_from_all_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words[i % 5 * 80 :][:80], k=12)), rng.choice(["en", "fr", None]), "s", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows + [(9001, "", "en", "s", 1), (9002, None, None, "s", 1)], DOCS)
+    model = mixing.fit_topics(df, "doc_id", "text", "lang")
+    hashes = mixing.WordHashes(3)
+    vectors = np.array([mixing.word_vector(r[1].encode(), hashes)[0] for r in rows])
+    # every text counts: document frequencies, means of languages, and centres that are the means of what is nearest
+    assert np.allclose(model.weights, np.log((1 + len(rows)) / (1 + (vectors > 0).sum(axis=0))) + 0.1)
+    places = vectors * model.weights
+    places /= np.linalg.norm(places, axis=1, keepdims=True)
+    for lang in ("en", "fr", None):
+        assert np.allclose(model.means[lang], places[[r[2] == lang for r in rows]].mean(axis=0), atol=1e-4)
+    places -= np.array([model.means[r[2]] for r in rows])
+    topics = ((places[:, None, :] - model.centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(model.centres, [places[topics == i].mean(axis=0) for i in range(8)], atol=0.02)
+    # the same topics however rows are dealt out, and where languages are too many for a broadcast
+    want = {r["doc_id"]: r["topic"] for r in mixing.mixed(df).collect()}
+    assert [want[r[0]] for r in rows] == topics.tolist() and want[9001] == want[9002] == -1
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert {r["doc_id"]: r["topic"] for r in mixing.mixed(df.repartition(7)).collect()} == want
+
+
 # ----------------------------------------------------------------------------------------------------- pipeline
 def test_pipeline_by_brute_force(spark, tmp_path):
     import public_tokenizers

@@ -6,10 +6,13 @@ tolerance. A budget of tokens is then dealt out by the fitted weights; a cell th
 taken whole, and the rest is dealt out among the others. A document is kept if a uniform number made of its key is
 below its cell's probability.
 
-Topics are learned: k-means over hashed word vectors of a bounded sample (TOPIC_ROWS documents, those whose keys have
-the least hashes). A vector has the logarithms of the counts of a text's words by BUCKETS hash values, weighed by how
-few texts of the sample have them, at length 1; what all texts of a language have in common is taken off, so that topics
-cut across languages. Every document then goes to the nearest centre. A corpus that has a topic column names it instead.
+Topics are learned from all documents with words: k-means over hashed word vectors. A vector has the logarithms of the
+counts of a text's words by BUCKETS hash values, weighed by how few texts have them, at length 1; what all texts of a
+language have in common is taken off, so that topics cut across languages. Each document's vector is made once and
+written; document frequencies, languages' means and every round of k-means are sums over all of these tables, of which
+a task hands on a few kilobytes. Coordinates are whole numbers (SCALE is 1), so the sums and what is nearest don't
+depend on how rows are dealt out. Every document goes to the nearest centre. A corpus that has a topic column names it
+instead.
 
 Targets: for each margin the square root of its share of tokens, which lifts small sources, languages and topics.
 Raking runs on the table of cells, a row for each source, language and topic that occurs, inside the plan: nothing
@@ -33,11 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftcorpus.llm.shared import WordHashes, drop, fresh, text_bytes, written
+from weftcorpus.llm.shared import WordHashes, drop, fresh, mixed as spread, text_bytes, written
 
 TOPICS, BUDGET, POWER, SALT = 8, 0.7, 0.5, "mix"
-#: Documents that topics are learned from, and the coordinates of a vector.
-TOPIC_ROWS, BUCKETS = 4_000, 256
+#: Coordinates of a vector; what a length of 1, and a logarithm of 1, are as whole numbers.
+BUCKETS, SCALE, LOG = 256, 1 << 14, 1 << 11
+#: Candidates for starts are drawn so many times, for each topic so many. Rounds end when one takes off less than this share
+#: of the summed squares, and at most. Means of more languages than FEW are joined by shuffle.
+DRAWS, DRAWN, ROUNDS, GAIN, FEW = 4, 4, 25, 1e-4, 10_000
 #: Raking ends at this relative error of the worst margin; sweeps between two looks at it, and sweeps at most.
 TOLERANCE, SWEEPS, MOST_SWEEPS = 0.005, 6, 60
 MARGINS = ("source", "lang", "topic")
@@ -59,80 +65,227 @@ class TopicModel:
     means: dict[str | None, np.ndarray] = field(default_factory=dict)
     centres: np.ndarray = field(default_factory=lambda: np.zeros((1, BUCKETS)))
 
-    def places(self, vectors: np.ndarray, langs: list[str | None]) -> np.ndarray:
-        """Weighed vectors of length 1 without the mean of their language."""
-        weighed = vectors * self.weights
-        weighed /= np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-12)
-        none = np.zeros(vectors.shape[1])
-        return weighed - np.array([self.means.get(x, none) for x in langs]).reshape(-1, vectors.shape[1])
-
-    def topics(self, vectors: np.ndarray, langs: list[str | None]) -> np.ndarray:
-        """The nearest centre of each, the first of equally near ones."""
-        at = self.places(vectors, langs)
-        return ((self.centres**2).sum(axis=1)[None, :] - 2 * at @ self.centres.T).argmin(axis=1)
-
-
-def k_means(points: np.ndarray, k: int, rounds: int = 25, seed: int = 5) -> np.ndarray:
-    """Centres by Lloyd's rounds from seeded far-apart starts; fewer if there are fewer unlike points."""
-    rng = np.random.default_rng(seed)
-    centres = points[rng.integers(len(points))][None, :]
-    while len(centres) < k:
-        far = ((points[:, None, :] - centres[None, -1:, :]) ** 2).sum(axis=2)[:, 0]
-        near = far if len(centres) == 1 else np.minimum(near, far)
-        if near.sum() < 1e-12:
-            break
-        centres = np.vstack([centres, points[rng.choice(len(points), p=near / near.sum())]])
-    for _ in range(rounds):
-        own = ((centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T).argmin(axis=1)
-        moved = np.array([points[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres
 
+def stacked(column: pa.Array, kind: str) -> np.ndarray:
+    """The vectors of a column of bytes, as rows; null ones as zeros."""
+    nothing = bytes(BUCKETS * np.dtype(kind).itemsize)
+    return np.frombuffer(b"".join(nothing if x is None else x for x in column.to_pylist()), kind).reshape(-1, BUCKETS).astype(np.float64)
 
-def fit_topics(df: DataFrame, key: str, text: str, lang: str, topics: int = TOPICS, rows: int = TOPIC_ROWS) -> TopicModel:
-    """A model of the rows documents with words whose keys have the least hashes."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(3)
+def of_length_one(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighed vectors at length SCALE, in whole numbers."""
+    weighed = vectors * weights
+    return np.rint(SCALE * weighed / np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-12))
+
+
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of each point to each centre; exact, as all are whole numbers far below 2**53."""
+    return (points**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * points @ centres.T
+
+
+def k_means(points: np.ndarray, sizes: np.ndarray, k: int, rounds: int = ROUNDS, starts: int = 10, seed: int = 5) -> np.ndarray:
+    """The best of some Lloyd's runs over points that count sizes times each; fewer centres if there are fewer unlike points."""
+    rng, best, least = np.random.default_rng(seed), points[:1], float("inf")
+    for _ in range(starts):
+        centres = points[rng.choice(len(points), p=sizes / sizes.sum())][None, :]
+        while len(centres) < k and (near := distances(points, centres).min(axis=1) * sizes).sum() > 0:
+            centres = np.vstack([centres, points[rng.choice(len(points), p=near / near.sum())]])
+        for _ in range(rounds):
+            own = distances(points, centres).argmin(axis=1)
+            moved = np.array([np.average(points[own == i], axis=0, weights=sizes[own == i]) if (own == i).any() else centres[i] for i in range(len(centres))])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        cost = (distances(points, centres).min(axis=1) * sizes).sum()
+        if cost < least:
+            best, least = centres, cost
+    return np.rint(best)
+
+
+def frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """How many vectors (column v) there are, and how many have each coordinate."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            sums += (stacked(batch.column(0), "<u2") > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+    found = rows.select("v").mapInArrow(count, "n long, sums binary").collect()  # a row for each task
+    return sum(r["n"] for r in found), sum((np.frombuffer(r["sums"], np.int64) for r in found), np.zeros(BUCKETS, np.int64))
+
+
+def language_means(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """lang, mean: of the vectors (columns v, lang), in whole numbers, a row for each language."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, list] = {}
+
+        def handed_on() -> pa.RecordBatch:
+            columns = [list(sums), [n for n, _ in sums.values()], [s.tobytes() for _, s in sums.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["lang", "n", "sums"])
+
+        for batch in batches:
+            units, langs = of_length_one(stacked(batch.column(0), "<u2"), weights), batch.column(1).dictionary_encode(null_encoding="encode")
+            codes = langs.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            heads = np.flatnonzero(np.append(True, codes[order][1:] != codes[order][:-1])[: len(codes)])
+            names = langs.dictionary.to_pylist()
+            for at, part in zip(heads.tolist(), np.split(order, heads[1:]), strict=False):
+                n, s = sums.get(names[codes[order[at]]], (0, 0))
+                sums[names[codes[order[at]]]] = n + len(part), s + units[part].sum(axis=0).astype(np.int64)
+            if len(sums) > FEW:
+                yield handed_on()
+                sums.clear()
+        yield handed_on()
+
+    def mean(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, lang = 0, np.zeros(BUCKETS, np.int64), None
+        for batch in groups:
+            lang = batch.column(0)[0].as_py()
+            n += sum(batch.column(1).to_pylist())
+            for s in batch.column(2).to_pylist():
+                sums += np.frombuffer(s, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([np.rint(sums / n).astype("<i2").tobytes()], pa.binary())], ["lang", "mean"])
+
+    parts = rows.select("v", "lang").mapInArrow(add, "lang string, n long, sums binary")
+    return parts.groupBy("lang").applyInArrow(mean, "lang string, mean binary")
+
+
+def with_means(rows: DataFrame, means: DataFrame | None, lang: str, name: str) -> DataFrame:
+    """rows with the mean of the language in a column, as a column of that name; means: written."""
+    if means is None:
+        return rows.withColumn(name, F.lit(None).cast("binary"))
+    of = fresh(rows, "__lang_of_mean")
+    means = means.select(F.col("lang").alias(of), F.col("mean").alias(name))
+    means = F.broadcast(means) if means.count() <= FEW else means  # half a kilobyte each
+    return rows.join(means, F.col(lang).eqNullSafe(F.col(of)), "left").drop(of)
+
+
+def placed(rows: DataFrame, weights: np.ndarray, means: DataFrame) -> DataFrame:
+    """h, p: the place of each vector (columns h, v, lang), without the mean of its language."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = of_length_one(stacked(batch.column(1), "<u2"), weights) - stacked(batch.column(2), "<i2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in at.astype("<i2")], pa.binary())], ["h", "p"])
+
+    return with_means(rows, means, "lang", "mean").select("h", "v", "mean").mapInArrow(place, "h long, p binary")
+
+
+def drawn(points: DataFrame, centres: np.ndarray, turn: int, many: int) -> np.ndarray:
+    """centres and many more points (columns h, p), drawn from all by their squared distances from the nearest centre.
+
+    Each point runs a race against time of the rate of its distance; the first ones to end are those drawn.
+    """
+
+    def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[float, bytes]] = []
         for batch in batches:
-            found = [word_vector(text_bytes(t.as_py()), hashes)[0].astype("<f4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["v", "lang"])
-
-    usable = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("lang")).where(F.rlike(F.col("t"), F.lit(r"[^\x20\x09-\x0D]")))
-    # ids first, then the texts of those alone; bounded: rows vectors of a kilobyte come to the driver
-    chosen = usable.select(F.col("k").alias("chosen")).distinct().orderBy(F.xxhash64(F.lit(29), "chosen"), "chosen").limit(rows)
-    some = usable.join(F.broadcast(chosen), F.col("k").eqNullSafe(F.col("chosen")), "left_semi").orderBy(F.xxhash64(F.lit(29), "k"), "k", F.xxhash64("t")).limit(rows)
-    found = some.select("t", "lang").mapInArrow(vectors, "v binary, lang string").collect()
-    model = TopicModel()
-    if not found:
-        return model
-    raw = np.array([np.frombuffer(r["v"], "<f4") for r in found], np.float64)
-    langs = [r["lang"] for r in found]
-    model.weights = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 0.1
-    at = model.places(raw, langs)
-    for name in set(langs):
-        model.means[name] = at[[x == name for x in langs]].mean(axis=0)
-    model.centres = k_means(model.places(raw, langs), topics)
-    return model
-
-
-def topics_and_tokens(model: TopicModel | None, text: Column, lang: Column) -> Column:
-    """struct<topic, n_tokens> of each text; topic is -1 for a text without words, or without a model."""
-
-    @arrow_udf("struct<topic:int,n_tokens:bigint>")
-    def describe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            at = stacked(batch.column(1), "<i2")
+            rate = distances(at, centres).min(axis=1) if len(centres) else np.ones(len(at))
+            chance = (spread(batch.column(0).to_numpy().view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)) + 0.5
+            time = -np.log(chance / float(1 << 53))
+            time = np.divide(time, rate, out=np.full(len(at), np.inf), where=rate > 0)
+            first = [i for i in np.argsort(time, kind="stable")[:many].tolist() if time[i] < np.inf]
+            kept = sorted(kept + [(float(time[i]), batch.column(1)[i].as_py()) for i in first])[:many]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.float64()), pa.array([p for _, p in kept], pa.binary())], ["t", "p"])
+
+    found = sorted((r["t"], bytes(r["p"])) for r in points.mapInArrow(race, "t double, p binary").collect())[:many]  # many rows for each task
+    return np.vstack([centres, *(np.frombuffer(p, "<i2").astype(np.float64)[None, :] for _, p in found)])
+
+
+def gathered(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the points (column p) nearest to each centre the number and the sum, and the summed squares of all distances."""
+    k = len(centres)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, sums, cost = np.zeros(k, np.int64), np.zeros((k, BUCKETS), np.int64), 0
+        for batch in batches:
+            at = stacked(batch.column(0), "<i2")
+            far = distances(at, centres)
+            own = far.argmin(axis=1)
+            sizes += np.bincount(own, minlength=k)
+            sums += ((own[:, None] == np.arange(k)).T.astype(np.float64) @ at).astype(np.int64)
+            cost += int(far.min(axis=1).sum())
+        # squares are handed on in two halves, as those of many texts take more than 64 bits
+        halves = [pa.array([x], pa.int64()) for x in (cost >> 32, cost & 0xFFFFFFFF)]
+        yield pa.RecordBatch.from_arrays([pa.array([sizes.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), *halves], ["sizes", "sums", "high", "low"])
+
+    found = points.select("p").mapInArrow(add, "sizes binary, sums binary, high long, low long").collect()  # a row for each task
+    sizes, sums = np.zeros(k, np.int64), np.zeros((k, BUCKETS), np.int64)
+    for r in found:
+        sizes += np.frombuffer(r["sizes"], np.int64)
+        sums += np.frombuffer(r["sums"], np.int64).reshape(k, BUCKETS)
+    return sizes, sums, sum((r["high"] << 32) + r["low"] for r in found)
+
+
+def learned(rows: DataFrame, topics: int) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Weights, means of languages (written) and centres, from all rows: h (a hash that chance is made of), v, lang."""
+    n, having = frequencies(rows)
+    if not n:
+        return np.ones(BUCKETS), None, np.zeros((1, BUCKETS))
+    weights = np.log((1 + n) / (1 + having)) + 0.1
+    means = written(language_means(rows, weights))
+    points = written(placed(rows, weights, means))
+    tried = drawn(points, np.zeros((0, BUCKETS)), 0, 1)
+    for turn in range(1, DRAWS + 1):
+        tried = drawn(points, tried, turn, DRAWN * topics)
+    tried = np.unique(tried, axis=0)
+    centres, before = k_means(tried, gathered(points, tried)[0], topics), None
+    for _ in range(ROUNDS):
+        sizes, sums, cost = gathered(points, centres)
+        if before is not None and before - cost <= GAIN * before:
+            break
+        before = cost
+        centres = np.where(sizes[:, None] > 0, np.rint(sums / np.maximum(sizes, 1)[:, None]), centres)
+    drop(points)
+    return weights, means, centres
+
+
+def fit_topics(df: DataFrame, key: str, text: str, lang: str, topics: int = TOPICS) -> TopicModel:
+    """The model of all documents with words; the means of all languages come to the driver."""
+    rows = written(df.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), vector_and_tokens(F.col(text)).alias("r")).select("k", "lang", "r.*"))
+    weights, means, centres = learned(learnable(rows, "k", "v", "lang", "n_tokens"), topics)
+    found = {} if means is None else {r["lang"]: np.frombuffer(r["mean"], "<i2") / SCALE for r in means.collect()}
+    for table in (rows, *([means] if means is not None else [])):
+        drop(table)
+    return TopicModel(weights, found, centres / SCALE)
+
+
+def learnable(rows: DataFrame, key: str, vector: str, lang: str, n_tokens: str) -> DataFrame:
+    """h, v, lang of the rows with words."""
+    chance = F.xxhash64(F.lit(29), F.col(key).cast("string"), vector)
+    return rows.where(F.col(n_tokens) > 0).select(chance.alias("h"), F.col(vector).alias("v"), F.col(lang).alias("lang"))
+
+
+def vector_and_tokens(text: Column, vectors: bool = True) -> Column:
+    """struct<v,n_tokens> of each text: its word vector in LOGths, none if they aren't wanted, and its words."""
+
+    @arrow_udf("struct<v:binary,n_tokens:bigint>")
+    def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes(3)
-        for texts, langs in batches:
-            found = [word_vector(text_bytes(t.as_py()), hashes) for t in texts]
-            sizes = np.array([n for _, n in found], np.int64)
-            topics = np.full(len(found), -1, np.int32)
-            if model is not None and len(found):
-                topics = np.where(sizes > 0, model.topics(np.array([v for v, _ in found]), langs.to_pylist()), -1).astype(np.int32)
-            yield pa.StructArray.from_arrays([pa.array(topics), pa.array(sizes)], ["topic", "n_tokens"])
+        for texts in batches:
+            if vectors:
+                found = [(np.rint(LOG * v).astype("<u2").tobytes(), n) for v, n in (word_vector(text_bytes(t.as_py()), hashes) for t in texts)]
+            else:
+                found = [(None, len(text_bytes(t.as_py()).split())) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([v for v, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["v", "n_tokens"])
 
-    return describe(F.coalesce(text, F.lit("")), lang)
+    return describe(F.coalesce(text, F.lit("")))
+
+
+def nearest(weights: np.ndarray, centres: np.ndarray, vector: Column, n_tokens: Column, mean: Column) -> Column:
+    """The centre nearest to each vector, the first of equally near ones; -1 for a text without words."""
+
+    @arrow_udf("int")
+    def topic(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for vectors, sizes, means in batches:
+            at = of_length_one(stacked(vectors, "<u2"), weights) - stacked(means, "<i2")
+            yield pa.array(np.where(sizes.to_numpy() > 0, distances(at, centres).argmin(axis=1), -1).astype(np.int32))
+
+    return topic(vector, n_tokens, mean)
 
 
 def uniform(key: Column, salt: str = SALT) -> Column:
@@ -211,14 +364,20 @@ def mixed(
     """
     results = ("topic", "n_tokens", "probability", "residual", "kept")
     names = [c for c in df.columns if c.lower() not in results]
-    model = None if topic else fit_topics(df, key, text, lang, topics)
     found, own, other = fresh(df, "__found"), {m: fresh(df, f"__{m}") for m in MARGINS}, {m: fresh(df, f"__{m}_of_cell") for m in MARGINS}
-    known = df.withColumn(found, topics_and_tokens(model, F.col(text), F.col(lang).cast("string")))
-    cell = {"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string"), "topic": F.col(topic).cast("string") if topic else F.col(f"{found}.topic")}
-    known = written(known.select(*[F.col(f"`{c}`") for c in names], *[cell[m].alias(own[m]) for m in MARGINS], F.col(f"{found}.n_tokens").alias("n_tokens")))
-
-    cells = targets(counted(known.select(*[F.col(own[m]).alias(m) for m in MARGINS], "n_tokens")), power)
-    weighed, error = fitted(cells, tolerance, most=most_sweeps)
+    vector, mean = fresh(df, "__vector"), fresh(df, "__mean")
+    cell = {"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string")} | ({"topic": F.col(topic).cast("string")} if topic else {})
+    known = df.withColumn(found, vector_and_tokens(F.col(text), not topic))
+    known = known.select(*[F.col(f"`{c}`") for c in names], *[cell[m].alias(own[m]) for m in cell], F.col(f"{found}.n_tokens").alias("n_tokens"), F.col(f"{found}.v").alias(vector))
+    known = written(known)
+    if not topic:
+        weights, means, centres = learned(learnable(known, key, vector, own["lang"], "n_tokens"), topics)
+        known = with_means(known, means, own["lang"], mean)
+        known = known.withColumn(own["topic"], nearest(weights, centres, F.col(vector), F.col("n_tokens"), F.col(mean)))
+
+    cells = written(counted(known.select(*[F.col(own[m]).alias(m) for m in MARGINS], "n_tokens")))
+    weighed, error = fitted(targets(cells, power), tolerance, most=most_sweeps)
+    drop(cells)
     shares = written(calibrated(weighed, budget))
     drop(weighed)
     renamed = shares.select(*[F.col(m).alias(other[m]) for m in MARGINS], "probability")
