@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftcorpus.llm import jaccard_join, mixing, sharding, substring_dedup, url_filters
+from weftcorpus.llm import jaccard_join, mixing, shared, sharding, substring_dedup, url_filters
 from weftcorpus.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,6 +261,36 @@ def test_connected_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_labels_go_across_centres_that_lie_near_each_other(spark):
+    links = [(c, i) for c, low in ((100, 1), (200, 10), (300, 20)) for i in range(low, low + 11)] + [(400, 50), (400, 51)]
+    got = {r["node"]: r["component"] for r in jaccard_join.around(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: 50 if x >= 400 or 50 <= x <= 51 else 1 for pair in links for x in pair}
+    assert jaccard_join.around(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_class_stands_once_in_a_block_and_fine_counts_are_packed(spark):
+    shingle, codes = 5 << 64 - jaccard_join.KEY, (3 << jaccard_join.CODE | 900, 3 << jaccard_join.CODE | 800)
+    rows = spark.createDataFrame([(own, [shingle | c for c in codes], 2) for own in (11, 12, 13)] + [(11, [shingle | codes[0]], 1)], "class long, keys array<long>, n_keys long")
+    assert sorted(map(tuple, jaccard_join.blocks(rows).collect())) == [(shingle, 11), (shingle, 12), (shingle, 13)]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(900)))], "__id long, __text string")
+    made = jaccard_join.described(docs, *jaccard_join.heavy_levels(docs)).first()
+    counts = jaccard_join.fine_of(bytes(made["fine"]))
+    assert counts.sum() == made["n"] == 896 and len(made["fine"]) < len(counts) / 2
+
+
+def test_batches_for_python_are_small_and_the_setting_is_put_back(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    found = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda *a: seen.append(spark.conf.get(name)) or found(*a))
+    df = spark.createDataFrame([(i, "x y z " * 9 + str(i % 3)) for i in range(20)], "doc_id long, text string")
+    assert jaccard_join.near_components(df).count() == 20
+    assert seen and set(seen) == {"4m"} and spark.conf.get(name) == before
+    with shared.small_batches(spark, "64k"):
+        sizes = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 1000)).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 30 and sum(r["n"] for r in sizes) == 4000
+
+
 # ------------------------------------------------------------------------------------------------------- mixing
 def test_raked_weights_meet_their_targets(spark):
     rng = random.Random(5)

@@ -25,6 +25,7 @@ component with themselves. Input columns other than key and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftcorpus.llm.components import components
-from weftcorpus.llm.shared import Rolling, WordHashes, drop, mixed, partitions, text_bytes, written
+from weftcorpus.llm.shared import Rolling, WordHashes, drop, mixed, partitions, small_batches, text_bytes, written
 
 SHINGLE, GROUPS, FINE, ROUNDS = 5, 128, 2048, 3
 #: Similar sets: DEN * intersection >= NUM * union.
@@ -149,6 +150,11 @@ def folded(fine: np.ndarray, groups: int) -> np.ndarray:
     return fine.reshape(groups, -1).sum(axis=1, dtype=np.int64)
 
 
+def fine_of(raw: bytes) -> np.ndarray:
+    """The fine counts of a class as described() packs them: mostly 0, 1 and 2, they take a fraction of their bytes."""
+    return np.frombuffer(zlib.decompress(raw), np.uint8)
+
+
 def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
     """The summed minima of two vectors of fine counts, the longer one folded to the length of the other."""
     groups = min(len(a), len(b))
@@ -200,7 +206,7 @@ def described(docs: DataFrame, levels: np.ndarray, salts: np.ndarray) -> DataFra
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(own)
-                fine.append(fine_counts(found).tobytes())
+                fine.append(zlib.compress(fine_counts(found).tobytes(), 1))
                 level = order[(found & np.uint64(len(order) - 1)).astype(np.int64)]
                 keys.append(packed_keys(found, level, own, salts))
             yield pa.RecordBatch.from_arrays(
@@ -236,7 +242,8 @@ def blocks(rows: DataFrame) -> DataFrame:
     """key, class: blocks of two classes or more that may be alike, one of those with equal members.
 
     Rows are dealt out by key (a very frequent one by key and portion) and stream through in order; what a task gives
-    of a block is a part of it, and the parts' marks add up to those of the block.
+    of a block is a part of it, and the parts' marks add up to those of the block. A class stands in a part once, and twice
+    in a block only where it stands at the border of two parts.
     """
     each = rows.where("keys is not null").select(F.explode("keys").alias("packed"), "class")
     total = rows.agg(F.sum("n_keys")).first()[0] or 0
@@ -252,6 +259,10 @@ def blocks(rows: DataFrame) -> DataFrame:
         group = np.where(heavy, packed, packed & ~rest)
         keep = heavy | partnered(group, packed >> CODE & (1 << CODE) - 1, packed & (1 << CODE) - 1)
         group, own = group[keep], own[keep]
+        order = np.lexsort((own, group))
+        group, own = group[order], own[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (own[1:] != own[:-1]))[: len(group)]  # a class with two such keys stands once
+        group, own = group[new], own[new]
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
         marks = [np.full(len(group), None, object) for _ in range(5)]
         if len(heads):
@@ -280,15 +291,14 @@ def blocks(rows: DataFrame) -> DataFrame:
             yield part([np.concatenate(x) for x in zip(*held, strict=True)])
 
     kind = "key long, class long, lead long, last long, s1 long, s2 long, m long"
-    found = written(dealt.sortWithinPartitions("packed", "class").mapInArrow(sweep, kind))
-    marks = found.where("m is not null").groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("m").alias("m")).where("lead < last")
-    swept, marks, found = found, written(marks), written(found.select("key", "class").distinct())
-    drop(swept)
+    swept = written(dealt.sortWithinPartitions("packed", "class").mapInArrow(sweep, kind))
+    marks = swept.where("m is not null").groupBy("key").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("m").alias("m")).where("lead < last")
+    marks, found = written(marks), swept.select("key", "class")
     united = united_blocks(found, marks)
     apart = marks.join(united.select("lead").distinct(), "lead", "left_anti").unionByName(marks.where(F.col("m") < UNITE).join(united.select("lead").distinct(), "lead", "left_semi"))
     kept = apart.groupBy("lead", "last", "s1", "s2", "m").agg(F.min("key").alias("key")).select("key")
     out = written(found.join(kept, "key", "left_semi").unionByName(united.select(F.col("lead").bitwiseOR(1).alias("key"), "class")))
-    for table in (found, marks, united):
+    for table in (swept, marks, united):
         drop(table)
     return out
 
@@ -530,6 +540,14 @@ def tiled(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 # ------------------------------------------------------------------------------------------------------ the join
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (the least key that links lead to), one row for each row of df."""
+    with small_batches(df.sparkSession):
+        rows, named = classes_named(df, key, text)
+    out = rows.join(named, "class", "left")
+    return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
+
+
+def classes_named(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """__id, n, class of each row; and component_id of each class."""
     docs = df.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     full = written(described(docs, *heavy_levels(docs)))
     shared = blocks(full)
@@ -551,30 +569,43 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("__id"))
     labels = labelled(classes, found)
     roots = labels.groupBy("component").agg(F.min("__id").alias("component_id"))
-    named = labels.join(roots, "component").select("class", "component_id")
-    out = rows.join(named, "class", "left")
-    return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "__id").alias("component_id"))
+    return rows, labels.join(roots, "component").select("class", "component_id")
 
 
 def searched(members: DataFrame, links: DataFrame, docs: DataFrame, known: DataFrame, best: bool) -> DataFrame:
     """The links that R-trees over the blocks find between what links leave apart."""
-    labels = labelled(known.select("class"), around(links))
+    near = around(links)
+    labels = labelled(known.select("class"), near)
     tiles, tables = tiled(members.join(labels, "class"))
     parts = partitions(docs.sparkSession, members.count(), 50_000)
     pairs = written(surviving(tiles.join(pointed(known), "class"), parts, best))
-    for table in tables:
+    for table in (near, *tables):
         drop(table)
     out = verified(pairs, docs, known)
     drop(pairs)
     return out
 
 
-def around(links: DataFrame, hops: int = 2) -> DataFrame:
-    """node, component: the least node within so many links of each node of a link.
+def around(links: DataFrame) -> DataFrame:
+    """node, component of each node of a link, written: the least node within two links, and of what has the same one, the
+    least within two links between such groups.
 
-    Nodes with one label are connected, though not all that are connected have one: enough to leave pairs out by, and in
-    a group around one centre the same as the whole components, for a few shuffles.
+    Nodes with one label are connected, though not all that are connected have one: enough to leave pairs out by, and for
+    groups around one centre, or around centres that lie near each other, the same as the whole components, for a few
+    shuffles.
     """
+    first = written(least_near(links))
+    ends = [first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    apart = written(links.join(ends[0], "a").join(ends[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    second = least_near(apart).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    out = written(first.join(second, "component", "left").select("node", F.coalesce("least", "component").alias("component")))
+    drop(first)
+    drop(apart)
+    return out
+
+
+def least_near(links: DataFrame, hops: int = 2) -> DataFrame:
+    """node, component: the least node within so many links of each node of a link."""
     there = links.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x in "ab" for y in "ab"])).alias("e")).select("e.node", "e.other")
     found = there.groupBy("node").agg(F.min("other").alias("component"))
     for _ in range(hops - 1):
@@ -587,7 +618,7 @@ def pointed(known: DataFrame) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = [point_bytes(np.frombuffer(x, np.uint8)) for x in batch.column(1).to_pylist()]
+            points = [point_bytes(fine_of(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.binary())], ["class", "point"])
 
     return known.select("class", "fine").mapInArrow(fold, "class long, point binary")
@@ -625,7 +656,7 @@ def refined(pairs: DataFrame, known: DataFrame) -> DataFrame:
         for batch in batches:
             good = []
             for na, fa, nb, fb in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                bound = fine_bound(np.frombuffer(fa.as_py(), np.uint8), np.frombuffer(fb.as_py(), np.uint8))
+                bound = fine_bound(fine_of(fa.as_py()), fine_of(fb.as_py()))
                 good.append((NUM + DEN) * bound >= NUM * (na.as_py() + nb.as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
