@@ -366,6 +366,16 @@ def test_topics_are_learned_from_all_documents(spark, monkeypatch):
 
 
 # ----------------------------------------------------------------------------------------------------- pipeline
+def test_mixture_stage_learns_from_all_documents(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"a{i % 7} b{i % 11} c{i % 13}", "en", "s", 1) for i in range(4500)] + [(9001, "", "en", "s", 1), (9002, None, "en", "s", 1)]
+    learned, seen = mixing.learned, []
+    monkeypatch.setattr(mixing, "learned", lambda rows, topics: seen.append(rows.count()) or learned(rows, topics))
+    kept = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, DOCS), "")
+    assert 0 < kept.count() < len(rows) and kept.columns == spark.createDataFrame([], DOCS).columns and seen == [4500]
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     import public_tokenizers
 
