@@ -365,6 +365,21 @@ def test_topics_are_learned_from_all_documents(spark, monkeypatch):
     assert {r["doc_id"]: r["topic"] for r in mixing.mixed(df.repartition(7)).collect()} == want
 
 
+def test_starts_are_unlike_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"w{i % 8}x{j}" for j in range(80)], k=40)), "en", "s", 1) for i in range(48)]
+    # rows of one key stand 40 times; a few texts under keys of their own outnumber all others by far
+    many = [(100 + 3000 * i + j, *rows[i][1:]) for i, n in enumerate((3000, 300, 30)) for j in range(n)]
+    for repeated in (rows, rows * 40, rows + many):
+        model = mixing.fit_topics(spark.createDataFrame(repeated, DOCS), "doc_id", "text", "lang")
+        assert len(model.centres) == len(np.unique(model.centres, axis=0)) == 8
+    points = [(i % 7, np.full(mixing.BUCKETS, i % 12, "<i2").tobytes()) for i in range(2000)]
+    table = spark.createDataFrame(points, "h long, p binary").repartition(3)
+    nothing, first = np.zeros((0, mixing.BUCKETS)), np.zeros((1, mixing.BUCKETS))
+    assert sorted(mixing.drawn(table, nothing, 0, 12)[:, 0]) == list(range(12))
+    assert sorted(mixing.drawn(table, first, 1, 40)[:, 0]) == list(range(12)) and len(mixing.drawn(table, first, 1, 5)) == 6
+
+
 # ----------------------------------------------------------------------------------------------------- pipeline
 def test_mixture_stage_learns_from_all_documents(spark, monkeypatch):
     import corpus_pipeline

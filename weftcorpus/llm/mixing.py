@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -177,9 +178,18 @@ def placed(rows: DataFrame, weights: np.ndarray, means: DataFrame) -> DataFrame:
 def drawn(points: DataFrame, centres: np.ndarray, turn: int, many: int) -> np.ndarray:
     """centres and many more points (columns h, p), drawn from all by their squared distances from the nearest centre.
 
-    Each point runs a race against time of the rate of its distance; the first ones to end are those drawn.
+    Each point runs a race against time of the rate of its distance; the first ones to end are those drawn. Of equal
+    points the first counts alone, so that copies don't take the places of others.
     """
 
+    def unlike(runs: Iterator[tuple[float, bytes]]) -> list[tuple[float, bytes]]:
+        first: dict[bytes, float] = {}
+        for t, p in runs:
+            first.setdefault(p, t)
+            if len(first) == many:
+                break
+        return [(t, p) for p, t in first.items()]
+
     def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[float, bytes]] = []
         for batch in batches:
@@ -188,11 +198,11 @@ def drawn(points: DataFrame, centres: np.ndarray, turn: int, many: int) -> np.nd
             chance = (spread(batch.column(0).to_numpy().view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)) + 0.5
             time = -np.log(chance / float(1 << 53))
             time = np.divide(time, rate, out=np.full(len(at), np.inf), where=rate > 0)
-            first = [i for i in np.argsort(time, kind="stable")[:many].tolist() if time[i] < np.inf]
-            kept = sorted(kept + [(float(time[i]), batch.column(1)[i].as_py()) for i in first])[:many]
+            order = np.argsort(time, kind="stable")[: int((time < np.inf).sum())]
+            kept = unlike(merge(kept, ((float(time[i]), batch.column(1)[i].as_py()) for i in order)))
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.float64()), pa.array([p for _, p in kept], pa.binary())], ["t", "p"])
 
-    found = sorted((r["t"], bytes(r["p"])) for r in points.mapInArrow(race, "t double, p binary").collect())[:many]  # many rows for each task
+    found = unlike(sorted((r["t"], bytes(r["p"])) for r in points.mapInArrow(race, "t double, p binary").collect()))  # many rows for each task
     return np.vstack([centres, *(np.frombuffer(p, "<i2").astype(np.float64)[None, :] for _, p in found)])
 
 
