@@ -380,6 +380,17 @@ def test_starts_are_unlike_texts(spark):
     assert sorted(mixing.drawn(table, first, 1, 40)[:, 0]) == list(range(12)) and len(mixing.drawn(table, first, 1, 5)) == 6
 
 
+def test_topics_in_small_batches(spark, monkeypatch):
+    rows = [(i, f"a{i % 7} b{i % 11} c{i % 13}", "en", "s", 1) for i in range(4500)]
+    df = spark.createDataFrame(rows, DOCS).repartition(9)
+    want = {r["doc_id"]: r["topic"] for r in mixing.mixed(df).collect()}
+    name, learned, seen = "spark.sql.execution.arrow.maxBytesPerBatch", mixing.learned, []
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(mixing, "learned", lambda *given: seen.append(spark.conf.get(name)) or learned(*given))
+    assert {r["doc_id"]: r["topic"] for r in mixing.mixed(df.coalesce(1)).collect()} == want
+    assert seen == [mixing.BATCH] and spark.conf.get(name, None) == before
+
+
 # ----------------------------------------------------------------------------------------------------- pipeline
 def test_mixture_stage_learns_from_all_documents(spark, monkeypatch):
     import corpus_pipeline

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftcorpus.llm.shared import WordHashes, drop, fresh, mixed as spread, text_bytes, written
+from weftcorpus.llm.shared import WordHashes, drop, fresh, mixed as spread, small_batches, text_bytes, written
 
 TOPICS, BUDGET, POWER, SALT = 8, 0.7, 0.5, "mix"
 #: Coordinates of a vector; what a length of 1, and a logarithm of 1, are as whole numbers.
@@ -45,6 +45,8 @@ BUCKETS, SCALE, LOG = 256, 1 << 14, 1 << 11
 #: Candidates for starts are drawn so many times, for each topic so many. Rounds end when one takes off less than this share
 #: of the summed squares, and at most. Means of more languages than FEW are joined by shuffle.
 DRAWS, DRAWN, ROUNDS, GAIN, FEW = 4, 4, 25, 1e-4, 10_000
+#: What Python workers get at once, and vectors that are compared at once: those of ten thousand texts take 20 MB for each step.
+BATCH, PART = "1m", 2_000
 #: Raking ends at this relative error of the worst margin; sweeps between two looks at it, and sweeps at most.
 TOLERANCE, SWEEPS, MOST_SWEEPS = 0.005, 6, 60
 MARGINS = ("source", "lang", "topic")
@@ -292,8 +294,11 @@ def nearest(weights: np.ndarray, centres: np.ndarray, vector: Column, n_tokens:
     @arrow_udf("int")
     def topic(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for vectors, sizes, means in batches:
-            at = of_length_one(stacked(vectors, "<u2"), weights) - stacked(means, "<i2")
-            yield pa.array(np.where(sizes.to_numpy() > 0, distances(at, centres).argmin(axis=1), -1).astype(np.int32))
+            own = [np.zeros(0, np.int64)]
+            for i in range(0, len(vectors), PART):
+                at = of_length_one(stacked(vectors[i : i + PART], "<u2"), weights) - stacked(means[i : i + PART], "<i2")
+                own.append(distances(at, centres).argmin(axis=1))
+            yield pa.array(np.where(sizes.to_numpy() > 0, np.concatenate(own), -1).astype(np.int32))
 
     return topic(vector, n_tokens, mean)
 
@@ -379,9 +384,11 @@ def mixed(
     cell = {"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string")} | ({"topic": F.col(topic).cast("string")} if topic else {})
     known = df.withColumn(found, vector_and_tokens(F.col(text), not topic))
     known = known.select(*[F.col(f"`{c}`") for c in names], *[cell[m].alias(own[m]) for m in cell], F.col(f"{found}.n_tokens").alias("n_tokens"), F.col(f"{found}.v").alias(vector))
-    known = written(known)
+    with small_batches(df.sparkSession, BATCH):
+        known = written(known)
+        if not topic:
+            weights, means, centres = learned(learnable(known, key, vector, own["lang"], "n_tokens"), topics)
     if not topic:
-        weights, means, centres = learned(learnable(known, key, vector, own["lang"], "n_tokens"), topics)
         known = with_means(known, means, own["lang"], mean)
         known = known.withColumn(own["topic"], nearest(weights, centres, F.col(vector), F.col("n_tokens"), F.col(mean)))
 
