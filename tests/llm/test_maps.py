@@ -1,6 +1,7 @@
 """GIF, token counts, byte-level BPE, quality rules and toxicity: round trips, brute force, held-out accuracy, edge cases."""
 
 import base64
+import json
 import random
 import struct
 import zlib
@@ -133,6 +134,47 @@ def test_counts_of_a_table(spark):
     assert [r["r"]["n_bytes"] for r in got] == [len((t or "").encode()) for t in TRICKY]
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from("ab1 '\n\t é漢!s\xa0\x85\x1c\u2003\u180e\u200b|<"), max_size=60) | st.just(" <|endoftext|> "), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_remembered_pieces_are_the_library_s(parts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = open(path, "rb").read()
+    made, _ = token_counts.tokenizer(spec)
+    known = token_counts.Pieces(made, spec, 50, 5)  # forgets all the time
+    texts = [*parts, "".join(parts), " ".join(parts)]
+    assert known.proven and known.counts(texts) == [len(made.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_pieces_are_cut_only_where_the_file_proves_it():
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    text = "two  words <|endoftext|> é\n x"
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}):
+        raw = json.dumps(spec | change).encode()
+        made, _ = token_counts.tokenizer(raw)
+        known = token_counts.pieces(made, raw)
+        assert not known.proven and known.counts([text]) == [len(made.encode(text, add_special_tokens=False))] and not known
+
+
+def test_counts_of_a_column_take_less_than_the_library_s_time_for_whole_texts():
+    """Seconds of one process: words that come again are not encoded again."""
+    import time
+
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    made, _ = token_counts.tokenizer(spec)
+    known = token_counts.Pieces(made, spec)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioulnrstdk") for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(512)]
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    assert known.counts(texts) == [len(made.encode(t, add_special_tokens=False)) for t in texts]
+    assert seconds(lambda: known.counts(texts)) < 0.6 * seconds(lambda: made.encode_batch_fast(texts, add_special_tokens=False))
+
+
 def test_bpe_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 _loaded: dict[int, object] = {}
+_pieces: dict[int, Pieces] = {}
 
 
 def tokenizer(spec: bytes):
@@ -49,17 +51,73 @@ def tokenizer(spec: bytes):
     return _loaded[key]
 
 
-def starts(enc) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets at which pre-tokens begin, and the number of tokens before each."""
-    at = np.array([o[0] for o in enc.offsets], np.int64)
-    word = np.array([-1 if w is None else w for w in enc.word_ids], np.int64)
-    if not len(at):
-        return at, at
+class Pieces(dict):
+    """piece -> its number of tokens, remembered per worker process up to ``limit`` pieces of at most ``longest`` characters.
+
+    ByteLevel's pattern lets no pre-token begin before a space and end beyond it, unless it is of white space alone; of
+    such a run it leaves the last character to what follows, if that is visible. So before a space that a visible
+    character follows a pre-token ends, and what stands on either side is split as it would be alone.
+    """
+
+    CUT = re.compile(r"(?= \S)")
+
+    def __init__(self, made, spec: bytes, limit: int = 400_000, longest: int = 40):
+        super().__init__()
+        self.made, self.limit, self.longest = made, limit, longest
+        parts = json.loads(spec)
+        split, model = parts.get("pre_tokenizer") or {}, parts["model"]
+        rules = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.proven = rules and not parts.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        self.added = [t.content for t in made.get_added_tokens_decoder().values()]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text; texts that hold an added token are encoded whole."""
+        if not self.proven:
+            return self.encoded(texts)
+        cut = [[t] if any(a in t for a in self.added) else self.CUT.split(t) for t in texts]
+        new = list({p for some in cut for p in some}.difference(self))
+        self.update(zip(new, self.encoded(new), strict=True))
+        found = [sum(map(self.__getitem__, some)) for some in cut]
+        if len(self) > self.limit:
+            self.clear()
+        else:
+            for p in new:
+                if len(p) > self.longest:
+                    del self[p]
+        return found
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def pieces(made, spec: bytes) -> Pieces:
+    """What this worker remembers for the tokenizer of a file."""
+    key = hash(spec)
+    if key not in _pieces:
+        _pieces[key] = Pieces(made, spec)
+    return _pieces[key]
+
+
+def starts(enc, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from low to below high at which pre-tokens begin, and the number of tokens before each."""
+    first, end = 0, len(enc)
+    while first < end:
+        middle = (first + end) // 2
+        first, end = (middle + 1, end) if enc.token_to_chars(middle)[0] < low else (first, middle)
+    at, word = [], []
+    for i in range(max(first - 1, 0), len(enc)):  # from one token before, to tell if a new one begins
+        offset = enc.token_to_chars(i)[0]
+        if offset >= high:
+            break
+        at.append(offset)
+        word.append(enc.token_to_word(i))
+    at = np.array(at, np.int64)
+    word = np.array([-1 if w is None else w for w in word], np.int64)
     # an added token has no word or one of its own; where offsets go on, a new pre-token begins
     new = np.ones(len(at), bool)
     new[1:] = ((word[1:] != word[:-1]) | (word[1:] < 0)) & (at[1:] > at[:-1])
-    index = np.flatnonzero(new)
-    return at[index], index
+    index = np.flatnonzero(new & (at >= low))
+    return at[index], index + max(first - 1, 0)
 
 
 def count_tokens(made, longest: int, text: str, chunk: int, overlap: int) -> tuple[int, int, int]:
@@ -73,17 +131,15 @@ def count_tokens(made, longest: int, text: str, chunk: int, overlap: int) -> tup
     skip = 0  # tokens of the current chunk that the chunk before it has given
     while end < len(text):
         width = overlap
-        a_at, a_index = starts(current)
-        a_at = a_at + begin
         while True:
             b_begin = max(begin + 1, end - width)
             b_end = min(len(text), b_begin + chunk)
             if b_end <= end:
                 b_end = min(len(text), end + chunk)
             following = encode(text[b_begin:b_end])
-            b_at, b_index = starts(following)
-            b_at = b_at + b_begin
-            common, ia, ib = np.intersect1d(a_at, b_at, return_indices=True)
+            a_at, a_index = starts(current, b_begin - begin, end - begin)
+            b_at, b_index = starts(following, 0, end - b_begin)
+            common, ia, ib = np.intersect1d(a_at + begin, b_at + b_begin, return_indices=True)
             good = (common > b_begin) & (common < end - longest) & (a_index[ia] >= skip)
             if good.any():
                 last = np.flatnonzero(good)[-1]
@@ -96,8 +152,6 @@ def count_tokens(made, longest: int, text: str, chunk: int, overlap: int) -> tup
             if b_begin == begin + 1:  # nothing in common in all of the chunk: the chunk itself must grow
                 end = min(len(text), 2 * end - begin)
                 current = encode(text[begin:end])
-                a_at, a_index = starts(current)
-                a_at = a_at + begin
                 if end == len(text):
                     break
             width *= 2
@@ -112,14 +166,14 @@ def counted(spark: SparkSession, text: Column, path: str, chunk: int = 16_384, o
     @arrow_udf("struct<n_bytes:bigint,n_tokens:bigint,splices:int,widened:int>")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made, longest = tokenizer(spec.value)
+        known = pieces(made, spec.value)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
             rows = np.zeros((len(texts), 3), np.int64)
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             for at in range(0, len(short), 256):
                 some = short[at : at + 256]
-                for i, e in zip(some, made.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
-                    rows[i, 0] = len(e)
+                rows[some, 0] = known.counts([texts[i] for i in some])
             for i, t in enumerate(texts):
                 if len(t) > chunk:
                     rows[i] = count_tokens(made, longest, t, chunk, overlap)
