@@ -254,6 +254,13 @@ def test_op7(spark, folder):
     assert Counter(got) == Counter(want)
 
 
+def test_op7_rules_of_the_contract(spark, folder):
+    rules = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{verdict} {host}{path}" for host, path, verdict in queries.URL_RULES] == rules.split(", ")
+    got = {r["page_id"]: r["verdict"] for r in queries.op7_url_filters(spark, folder).where("rule is not null").collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "block"}
+
+
 def test_op8(spark, folder):
     got = ran(spark, folder, "op8_substring_dedup", {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"})
     plain = plain_cut([r[:2] for r in ROWS])
