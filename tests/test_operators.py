@@ -1,5 +1,6 @@
 """Duplicates, splits, provenance, tokens, metrics, health, sources against small brute force."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -79,6 +80,25 @@ def test_first_fit_skips_and_goes_on(spark):
     assert got == want
 
 
+def test_first_fit_keeps_groups_whole_where_shuffles_are_dealt_anew(spark):
+    rows = [(None if i % 50 == 0 else "a" if i % 10 < 8 else f"g{i % 7}", i, i * 7919 % 101) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, k long, n long").repartition(8)
+    groups, want = {}, {}
+    for g, k, n in rows:
+        groups.setdefault(g, []).append((hashlib.sha256(f"{dedup.SPLIT_SEED}:{k}".encode()).hexdigest(), k, n))
+    for g, found in groups.items():
+        budget, used = sum(n for *_, n in found) // 2, 0
+        for _, k, n in sorted(found)[: 1 if g is None else None]:
+            want[g, k] = used + n <= budget
+            used += n if want[g, k] else 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = dedup.first_fit(df, "g", "k", "n", 0.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["g"], r["k"]): r["kept"] for r in got} == want and len(got) == len(want)
+
+
 def test_accounting_parts_sum_to_the_whole(spark):
     rows = spark.createDataFrame([("src0", 10, 50), ("src1", 5, 20), ("src9", 7, 30), ("src18", 3, 9), (None, 2, 4)], "source string, n_words long, n_chars long")
     got = provenance.accounting(provenance.with_provenance(rows)).collect()
