@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftcorpus.functions.text import canonical_form, exact_hash
 from weftcorpus.functions import tables, text
 from weftcorpus.functions.language import KONKANI_MARKERS, MARATHI_MARKERS, MARKERS
 from weftcorpus.operators import accounts, batches, bpe, ingest, metrics, near, overlap, reasoning, tokens, web
@@ -317,3 +318,28 @@ def test_sweeps_are_the_vocabularies_of_each_size():
     assert set(found) == {270, 280, 300} and all(found[n] == bpe.learned(table, n) and len(found[n]) == n for n in found)
     with pytest.raises(ValueError):
         bpe.sweep(table, [100])
+
+
+def test_unlike_rows_that_share_a_band_are_no_candidates(spark):
+    rng = random.Random(3)
+    sigs = [[rng.randrange(1 << 30) for _ in range(128)] for _ in range(300)]
+    for i, s in enumerate(sigs):
+        s[:8] = [7] * 8
+        if i % 10 == 9:
+            sigs[i] = [x if k % 5 or k > 110 else x + 1 for k, x in enumerate(sigs[i - 1])]
+    sigs += [[1, 2, 3, 4], [1, 2, 3, 4]]
+    signed = spark.createDataFrame(list(enumerate(sigs)), "id long, signature array<int>")
+    left, right = signed.where("id % 2 = 0"), signed.where("id % 2 = 1")
+    want = {(a, b): likeness(sigs[a], sigs[b]) for a in range(0, 302, 2) for b in range(1, 302, 2) if len(sigs[a]) == len(sigs[b]) and likeness(sigs[a], sigs[b]) * len(sigs[a]) / 128 >= 0.8}
+    got = {(r["id"], r["other"]): r["score"] for r in near.matches(left, right, 0.8, 32, 4).collect() if r["id"] < 300}
+    assert got == {k: v for k, v in want.items() if k[0] < 300} and len(got) >= 30
+    one, two = (near.keys(x, 0.8, 32, 4) for x in (left, right))
+    pairs = one.join(two.withColumnRenamed("id", "other"), ["band", "part"]).select("id", "other").distinct().where("id < 300").count()
+    assert pairs <= 2 * len(got) < 150 * 150 / 2
+
+
+def test_signatures_and_hashes_of_one_pass(spark):
+    docs = [(1, "Some  TEXT 12 and\x1c 345\n"), (2, "ÀÉ  ßtraße 77\xa0x"), (3, None), (4, "  "), (5, "\x0bİstanbul ΣΑΣ 9")]
+    df = spark.createDataFrame(docs, "id long, t string")
+    for r in df.select("id", near.hashed_minhash(F.col("t")).alias("x"), exact_hash(F.coalesce("t", F.lit(""))).alias("h"), canonical_form(F.coalesce("t", F.lit(""))).alias("c")).collect():
+        assert r["x"]["hash"] == r["h"] and r["x"]["signature"] == near.signature(r["c"], *near.coefficients()).tolist()
