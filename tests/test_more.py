@@ -343,3 +343,20 @@ def test_signatures_and_hashes_of_one_pass(spark):
     df = spark.createDataFrame(docs, "id long, t string")
     for r in df.select("id", near.hashed_minhash(F.col("t")).alias("x"), exact_hash(F.coalesce("t", F.lit(""))).alias("h"), canonical_form(F.coalesce("t", F.lit(""))).alias("c")).collect():
         assert r["x"]["hash"] == r["h"] and r["x"]["signature"] == near.signature(r["c"], *near.coefficients()).tolist()
+
+
+def test_counts_of_classes_are_those_of_java(spark):
+    kinds = [text.NOT_WS, text.DEVANAGARI, "[A-Za-z]", text.KANNADA, "[0-9०-९]"]
+    texts = ["", " a B9\t\x1c\x1f z", "नमस्ते १२ ॥ abc\xa0d", "ಕನ್ನಡ Kannada ५5", "𝒳 é ß Z\x85", None, "\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for r in df.select("t", text.counts_of(F.col("t"), *kinds).alias("got"), F.array(*[F.regexp_count("t", F.lit(k)) for k in kinds]).alias("want"), text.count_of(F.col("t"), kinds[0]).alias("one")).collect():
+        assert r["got"] == (None if r["t"] is None else r["want"]) and r["one"] == r["want"][0]
+
+
+def test_batches_of_several_files(spark):
+    df = spark.range(40).select(F.col("id"), F.col("id").cast("string").alias("t"))
+    at, seen = jobs.in_files(df, "id", [3, 20], "several", files=4), []
+    assert len(jobs.in_file_list(spark, at)) == 12
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(at)
+    jobs.drain(stream, at, lambda rows, batch: seen.append(sorted(r["id"] for r in rows.collect())), f"{at}-progress")
+    assert seen == [list(range(3)), list(range(3, 20)), list(range(20, 40))]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from weftcorpus.functions.text import ratio
+from weftcorpus.functions.text import count_of, ratio
 from weftcorpus.operators.provenance import MANUAL_FLOOR
 
 
@@ -162,5 +162,5 @@ def page_url(title: Column, host: str) -> Column:
 def script_percentages(c: Column) -> Column:
     """struct of percents of all characters by script, as older reports have them (white space counts)."""
     n = F.length(c)
-    share = lambda pattern: F.round(100 * ratio(F.regexp_count(c, F.lit(pattern)), n), 4)
+    share = lambda pattern: F.round(100 * ratio(count_of(c, pattern), n), 4)
     return F.struct(share("[ऀ-ॿ]").alias("devanagari"), share("[A-Za-z]").alias("latin"), share("[ಀ-೿]").alias("kannada"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftcorpus.functions.text import NOT_WS, ratio
+from weftcorpus.functions.text import NOT_WS, counts_of, ratio
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,8 @@ def reason(gate: Gate, n_words: Column, share: Column, label: Column, score: Col
 
 def fixture_gate(docs: DataFrame) -> DataFrame:
     """The fixtures' documents with a reason: 40 words, 70 % Latin letters, no Spanish, English only."""
-    latin = ratio(F.regexp_count("text", F.lit("[A-Za-z]")), F.regexp_count("text", F.lit(NOT_WS)))
+    counts = counts_of(F.col("text"), "[A-Za-z]", NOT_WS)
+    latin = ratio(counts[0], counts[1])
     gate = Gate(40, 0.70, "es", "en")
     return docs.withColumn("reason", reason(gate, F.col("n_words"), latin, F.col("lang"), F.lit(1.0), "latin"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftcorpus.functions.text import canonical_form, n_words
+from weftcorpus.functions.text import n_words
 from weftcorpus.operators import near
 from weftcorpus.operators.gates import Gate
+from weftcorpus.session import cut
 
 
 def document_reason(gate: Gate, words: Column, share: Column, label: Column) -> Column:
@@ -33,15 +34,16 @@ def decided(df: DataFrame, key: str, text: str, why: Column, order: list, prefix
     Documents that the gate rejects are no one's original. Among the rest the first of equal canonical forms goes on
     to the near stage, where a document is dropped if it is like an earlier kept one.
     """
-    gated = df.withColumn("__reason", why).withColumn("__ord", F.struct(*order)).withColumn("__hash", F.sha2(canonical_form(F.col(text)), 256))
-    open_ = gated.where("__reason is null")
-    firsts = open_.groupBy("__hash").agg(F.min("__ord").alias("__first"))
-    ranked = open_.join(firsts, "__hash").select(F.col(key).alias("id"), F.col("__ord").alias("ord"), F.col(text).alias("t"), (F.col("__ord") != F.col("__first")).alias("copy"))
-    signed = ranked.where("not copy").select("id", "ord", near.minhash(F.col("t")).alias("signature"))
-    near_copies = near.greedy(signed, threshold).where("keeper is not null").select(F.col("id").alias(key), F.lit(f"{prefix}near_duplicate").alias("__near"))
+    gated = df.withColumn("__reason", why).withColumn("__ord", F.struct(*order))
+    open_ = gated.where("__reason is null").where(F.col(text).isNotNull())
+    # each open text is signed once, where it is read; what follows has no texts
+    signed = cut(open_.select(F.col(key).alias("id"), F.col("__ord").alias("ord"), near.hashed_minhash(F.col(text)).alias("x")).select("id", "ord", "x.hash", "x.signature"))
+    firsts = signed.groupBy("hash").agg(F.min("ord").alias("first"))
+    ranked = signed.join(firsts, "hash").withColumn("copy", F.col("ord") != F.col("first"))
+    near_copies = near.greedy(ranked.where("not copy").select("id", "ord", "signature"), threshold).where("keeper is not null").select(F.col("id").alias(key), F.lit(f"{prefix}near_duplicate").alias("__near"))
     copies = ranked.where("copy").select(F.col("id").alias(key), F.lit(f"{prefix}exact_duplicate").alias("__copy"))
     joined = gated.join(copies, key, "left").join(near_copies, key, "left")
-    return joined.withColumn("reason", F.coalesce("__reason", "__copy", "__near")).drop("__reason", "__ord", "__hash", "__copy", "__near")
+    return joined.withColumn("reason", F.coalesce("__reason", "__copy", "__near")).drop("__reason", "__ord", "__copy", "__near")
 
 
 def totals(df: DataFrame, dataset: str, text: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftcorpus.functions.text import DEVANAGARI, NOT_WS, lines, n_words
+from weftcorpus.functions.text import DEVANAGARI, NOT_WS, count_of, lines, n_words
 
 
 def lengths(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -39,6 +39,6 @@ def audit(df: DataFrame, text: str = "text") -> DataFrame:
     """Lines, characters, characters shown, words, Devanagari and Latin letters of all texts."""
     c = F.col(text)
     return df.agg(
-        F.sum(F.size(lines(c))).alias("lines"), F.sum(F.length(c)).alias("chars"), F.sum(F.regexp_count(c, F.lit(NOT_WS))).alias("shown"), F.sum(n_words(c)).alias("words"),
-        F.sum(F.regexp_count(c, F.lit(DEVANAGARI))).alias("devanagari"), F.sum(F.regexp_count(c, F.lit("[A-Za-z]"))).alias("latin"),
+        F.sum(F.size(lines(c))).alias("lines"), F.sum(F.length(c)).alias("chars"), F.sum(count_of(c, NOT_WS)).alias("shown"), F.sum(n_words(c)).alias("words"),
+        F.sum(count_of(c, DEVANAGARI)).alias("devanagari"), F.sum(count_of(c, "[A-Za-z]")).alias("latin"),
     )

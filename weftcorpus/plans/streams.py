@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftcorpus.functions.text import NOT_WS, n_words, ratio
+from weftcorpus.functions.text import NOT_WS, counts_of, n_words, ratio
 from weftcorpus.operators.gates import Gate, reason
 from weftcorpus.plans.base import CANON, D, Register, table
 from weftcorpus.plans.corpus import GATED
@@ -18,7 +18,8 @@ add = REGISTER.add
 
 def gate(rows: DataFrame) -> Column:
     """The gate of the fixtures."""
-    latin = ratio(F.regexp_count("text", F.lit("[A-Za-z]")), F.regexp_count("text", F.lit(NOT_WS)))
+    counts = counts_of(F.col("text"), "[A-Za-z]", NOT_WS)
+    latin = ratio(counts[0], counts[1])
     return reason(Gate(40, 0.70, "es", "en"), n_words(F.col("text")), latin, F.col("lang"), F.lit(1.0), "latin")
 
 
@@ -26,8 +27,9 @@ def in_batches(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     """The documents as a stream of so many batches, in the order of their ids."""
     docs = table(spark, sf_dir, "documents")
     bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)]).alias("b")).first()["b"] or []
-    at = jobs.in_files(docs, "doc_id", sorted(set(bounds)), "documents")
-    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    files = jobs.files_of(docs, parts)
+    at = jobs.in_files(docs, "doc_id", sorted(set(bounds)), "documents", files)
+    return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 @add(f"""WITH {GATED}, h AS (SELECT doc_id, n_words, reason, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, sha256({CANON}) ORDER BY doc_id) END AS k FROM g)
@@ -58,7 +60,8 @@ def stream_pack_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded over two runs of one job: the second goes on where the first has stopped, and nothing counts twice."""
     docs = table(spark, sf_dir, "documents")
     bounds = docs.agg(F.percentile_approx("doc_id", [0.5]).alias("b")).first()["b"] or []
-    at = jobs.in_files(docs.where(F.col("doc_id") < F.lit(bounds[0])) if bounds else docs, "doc_id", [], "resumed")
+    files = jobs.files_of(docs, 2)
+    at = jobs.in_files(docs.where(F.col("doc_id") < F.lit(bounds[0])) if bounds else docs, "doc_id", [], "resumed", files)
     job = jobs.folder(spark, "encoded")
 
     def encode(rows: DataFrame, batch: int) -> None:
@@ -66,7 +69,7 @@ def stream_pack_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for more in (None, docs.where(F.col("doc_id") >= F.lit(bounds[0])) if bounds else None):
         if more is not None:
-            more.coalesce(1).write.mode("append").parquet(at)
-        jobs.drain(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(at), job, encode, f"{job}-progress")
+            jobs.append(more, at, files)
+        jobs.drain(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(at), job, encode, f"{job}-progress")
     kind = ingest.StructType.fromDDL(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
     return jobs.finished(spark, job, kind)

@@ -276,7 +276,7 @@ r AS (SELECT col, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) / nullif(lengt
 def schema_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """String columns by their mean share of Latin letters."""
     cells = table(spark, sf_dir, "documents").select("text", "lang", "source").unpivot([], ["text", "lang", "source"], "col", "t")
-    share = F.try_divide(F.regexp_count("t", F.lit("[A-Za-z]")).cast("double"), F.length(F.regexp_replace("t", r"\s", "")))
+    share = F.try_divide(text.count_of(F.col("t"), "[A-Za-z]").cast("double"), F.length(F.regexp_replace("t", r"\s", "")))
     return cells.select("col", share.alias("ratio")).groupBy("col").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"), (F.avg("ratio") >= 0.9).alias("kept"))
 
 
@@ -286,5 +286,5 @@ SELECT doc_id, arg_max(field, struct_pack(a := coalesce(ratio, -1), b := -pos))
 def best_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of tab-separated fields the one with the largest share of Latin letters; the first of equals."""
     line = table(spark, sf_dir, "documents").select("doc_id", F.split(F.concat_ws("\t", "source", "lang", F.translate("text", "\t", " ")), "\t").alias("f"))
-    scored = F.transform("f", lambda x, i: F.struct(F.coalesce(F.try_divide(F.regexp_count(x, F.lit("[A-Za-z]")).cast("double"), F.length(F.regexp_replace(x, r"\s", ""))), F.lit(-1.0)).alias("r"), (-i).alias("i"), x.alias("x")))
+    scored = F.transform("f", lambda x, i: F.struct(F.coalesce(F.try_divide(text.count_of(x, "[A-Za-z]").cast("double"), F.length(F.regexp_replace(x, r"\s", ""))), F.lit(-1.0)).alias("r"), (-i).alias("i"), x.alias("x")))
     return line.select("doc_id", F.array_max(scored)["x"].alias("best"))

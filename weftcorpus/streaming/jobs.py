@@ -134,11 +134,37 @@ class Packer:
         return finished(self.spark, f"{self.at}/closed", self.packs).unionByName(tail)
 
 
-def in_files(df: DataFrame, order: str, bounds: list, name: str) -> str:
-    """A folder with df in files that are written one after the other, cut at the bounds of an order."""
+#: Bytes of input for each file of a batch, which a task reads as a whole.
+FILE = 16 << 20
+
+
+def files_of(df: DataFrame, batches: int) -> int:
+    """How many files each of so many batches of df has, by the size of its input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // (batches * FILE)))
+
+
+def in_file_list(spark: SparkSession, at: str) -> set[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in files.listStatus(path) if f.getPath().getName().startswith("part-")} if files.exists(path) else set()
+
+
+def append(df: DataFrame, at: str, files: int) -> None:
+    """Writes df to a folder in exactly so many files, empty ones if need be: a stream of so many files a batch takes them
+    as one batch, and the files of the next call as another."""
+    spark = df.sparkSession
+    aim = len(in_file_list(spark, at)) + files
+    (df.repartition(files) if files > 1 else df.coalesce(1)).write.mode("append").parquet(at)
+    for _ in range(aim - len(in_file_list(spark, at))):
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(at)
+
+
+def in_files(df: DataFrame, order: str, bounds: list, name: str, files: int = 1) -> str:
+    """A folder with df in batches of so many files that are written one after the other, cut at the bounds of an order."""
     at = folder(df.sparkSession, name)
     edges = [None, *bounds, None]
     for low, high in zip(edges, edges[1:], strict=False):
         some = df.where((F.lit(True) if low is None else F.col(order) >= F.lit(low)) & (F.lit(True) if high is None else F.col(order) < F.lit(high)))
-        some.coalesce(1).write.mode("append").parquet(at)
+        append(some, at, files)
     return at
