@@ -360,3 +360,15 @@ def test_batches_of_several_files(spark):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(at)
     jobs.drain(stream, at, lambda rows, batch: seen.append(sorted(r["id"] for r in rows.collect())), f"{at}-progress")
     assert seen == [list(range(3)), list(range(3, 20)), list(range(20, 40))]
+
+
+def test_joins_learned_in_blocks_are_those_of_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {"".join(rng.choice("aaab▁éñ漢e") for _ in range(rng.randrange(1, 24))): rng.randrange(1, 30) for _ in range(900)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    table = bpe.collected(counts)
+    monkeypatch.setattr(bpe, "ROUNDS", 3)
+    monkeypatch.setattr(bpe, "LOCAL_WORDS", 100)
+    for size, share in ((300, 1.0), (340, 0.97)):
+        assert bpe.learned_from(counts, size, share) == bpe.learned(table, size, share)
+    assert bpe.sweep_from(counts, [262, 280, 310], 1.0) == bpe.sweep(table, [262, 280, 310], 1.0)
