@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftcorpus.operators import dedup, health, metrics, near, provenance, reasoning, tokens
+from weftcorpus.plans import dedup as dedup_plans
 from weftcorpus.sources import io
 
 
@@ -198,3 +199,14 @@ def test_sources(spark, tmp_path):
     made = io.records(docs, F.col("text"), F.col("text"), F.lit("s"), F.lit("manual_ocr"), "2024-01-01T00:00:00+00:00").first()
     assert made["words"] == 2 and made["is_manual"] and made["tokens"] is None
     assert io.markdown(docs.limit(1)).startswith("| text |")
+
+
+def test_neighbours_are_found_among_narrow_rows(spark, tmp_path):
+    rows = [(i, "abcd"[i % 4], f"w{i // 8} w{i % 3} x" if i % 7 else None) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = dedup_plans.word_jaccard_of_neighbours(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(row#" in plan and "lag(s#" not in plan
+    sets = {i: set((t or "").split()) for i, _, t in rows}
+    want = {i: (i - 4, round(len(sets[i] & sets[i - 4]) / len(sets[i] | sets[i - 4]), 6) if sets[i] and sets[i - 4] else 0.0) for i in range(4, 60)}
+    assert {r["doc_id"]: (r["other"], r["jaccard"]) for r in found.collect()} == want
